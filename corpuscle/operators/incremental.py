@@ -88,7 +88,7 @@ class IncrementalProcessor:
     """The same method for live runs, with a ledger on shared storage.
 
     `pending` gives the pairs a run has to process, `commit` records them. The ledger's part of a run is written first and
-    counts only once the run's marker file exists, which is created atomically: a run that dies in between leaves nothing
+    counts only once the run's marker file exists, which appears by a rename: a run that dies in between leaves nothing
     behind, and its successor rereads the same range. `commit` may be called again after a crash with the same run id."""
 
     def __init__(self, spark: SparkSession, path: str, feed: ChangeFeed = ChangeFeed()):
@@ -143,9 +143,13 @@ class IncrementalProcessor:
             return
         processed.select("key", "version").write.mode("overwrite").parquet(f"{self.path}/ledger/{run_id}")
         micros = self.spark.range(1).select(F.unix_micros(F.lit(started))).first()[0]
-        p, fs = self._fs(f"{self.path}/committed/{run_id}")
-        out = fs.create(p, False)
+        draft, fs = self._fs(f"{self.path}/drafts/{run_id}")
+        out = fs.create(draft, True)
         try:
             out.write(bytearray(json.dumps({"run_id": run_id, "started": micros}).encode()))
         finally:
             out.close()
+        marker, _ = self._fs(f"{self.path}/committed/{run_id}")
+        fs.mkdirs(marker.getParent())
+        if not fs.rename(draft, marker):
+            raise RuntimeError(f"run {run_id} could not be committed")
