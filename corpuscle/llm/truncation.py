@@ -9,27 +9,33 @@ from pyspark.sql import DataFrame
 #: Marks that programs leave where they cut: dots, an ellipsis, either in brackets, halves of a character.
 MARK = r"(?:\s*(?:\.\.\.+|…|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\x{FFFD}+))+$"
 
+BLANK = " \\n\\r\\t\\u000b\\f\\u00a0\\u2028\\u2029"
+
+_WORDS = r"""transform(split(trim(regexp_replace(regexp_replace(regexp_replace(lower({text}), r"\n\s*", ' ¶ ¶ '), r"\b(?:https?://|www\.)[^\s/]+/", 'www/'), '[0-9]+', '0')), r"[\s\x{A0}]+"), x -> xxhash64(x))"""
+
+#: Last characters of a text in which its final words, its mark and its last line are looked for.
+TAIL = 400
+
 _SQL = r"""
-WITH trimmed AS (
-  SELECT `{id}` AS id, `{source}` AS source, regexp_replace(regexp_replace(`{text}`, r"&nbsp;|\x{A0}", ' '), r"\s+$", '') AS text FROM {docs} WHERE `{id}` IS NOT NULL
+WITH whole AS (
+  SELECT `{id}` AS id, `{source}` AS source, trim(TRAILING '{blank}' FROM replace(`{text}`, '&nbsp;', ' ')) AS t FROM {docs} WHERE `{id}` IS NOT NULL
 ), texts AS (
-  SELECT id, source, text RLIKE r"{mark}" AS marked, regexp_replace(text, r"{mark}", '') AS t FROM trimmed WHERE text <> ''
-), words AS (
-  SELECT id, source, marked, right(t, 160) AS tail,
-    transform(split(trim(regexp_replace(regexp_replace(regexp_replace(lower(t), r"\s*\n\s*", ' ¶ ¶ '), r"(?:https?://|www\.)[^\s/]+\.[a-z]+/", 'www/'), '[0-9]+', '0')), r"\s+"), x -> xxhash64(x)) AS w
-  FROM texts
+  SELECT id, source, marked, left(t, length(t) - length(tail) + length(kept)) AS t, right(kept, {tail}) AS tail, length(t) - length(tail) + length(kept) > {tail} AS longer
+  FROM (SELECT *, tail <> kept AS marked FROM (SELECT *, regexp_replace(tail, r"{mark}", '') AS kept FROM (SELECT *, right(t, {tail} + 100) AS tail FROM whole WHERE t <> '')))
 ), trigrams AS (
   SELECT tri, count(*) AS inside
-  FROM words LATERAL VIEW explode(transform(sequence(1, size(w) - 3), i -> xxhash64(w[i - 1], w[i], w[i + 1]))) AS tri
+  FROM (SELECT {words(t)} AS w FROM texts) LATERAL VIEW explode(transform(sequence(1, size(w) - 3), i -> xxhash64(w[i - 1], w[i], w[i + 1]))) AS tri
   WHERE size(w) >= 4
   GROUP BY tri
+), final_words AS (
+  SELECT id, source, marked, tail, CASE WHEN longer THEN slice(w, 2, size(w)) ELSE w END AS w FROM (SELECT *, {words(tail)} AS w FROM texts)
 ), ends AS (
-  SELECT id, source, marked, tail, CASE WHEN size(w) >= 3 THEN xxhash64(w[size(w) - 3], w[size(w) - 2], w[size(w) - 1]) END AS tri,
+  SELECT id, source, marked, CASE WHEN size(w) >= 3 THEN xxhash64(w[size(w) - 3], w[size(w) - 2], w[size(w) - 1]) END AS tri,
     xxhash64(slice(w, greatest(1, size(w) - 8), greatest(0, least(6, size(w) - 3)))) AS before,
     tail RLIKE r"[.!?][»”’'\x{22})\]]*$" AS stopped,
     tail RLIKE r"(?:^|\n)\s*\p{Lu}[\p{L}' ’]*, \d{1,2}[°º]? \p{Ll}{3,} \d{4}$" AS dated,
     length(substring_index(tail, '\n', -1)) <= {line} AND instr(tail, '\n') > 0 AS own_line
-  FROM words
+  FROM final_words
 ), terminal AS (
   SELECT tri, count(*) AS at_end, count(DISTINCT before) AS contexts FROM ends WHERE tri IS NOT NULL GROUP BY tri
 ), closing AS (
@@ -53,7 +59,9 @@ def _sql(docs: DataFrame, id_col: str, text_col: str, source_col: str, often: in
     view = f"docs_{uuid.uuid4().hex}"
     docs.createOrReplaceTempView(view)
     sql = _SQL
-    for k, v in {"id": id_col, "text": text_col, "source": source_col, "mark": MARK, "docs": view, "often": often, "never": never, "rare": rare, "line": line}.items():
+    for k in ("t", "tail"):
+        sql = sql.replace("{words(" + k + ")}", _WORDS.replace("{text}", k))
+    for k, v in {"blank": BLANK, "tail": TAIL, "id": id_col, "text": text_col, "source": source_col, "mark": MARK, "docs": view, "often": often, "never": never, "rare": rare, "line": line}.items():
         sql = sql.replace("{" + k + "}", str(v))
     return docs.sparkSession.sql(sql + query)
 
