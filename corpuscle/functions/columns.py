@@ -29,13 +29,6 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"(?U)(\w+)"), 1)
 
 
-def word_sequences(w: Column, n: int = it.SHINGLE_WORDS) -> Column:
-    """Distinct hashes of n consecutive words, or of all words if there are fewer. The words are hashed once each."""
-    h = F.transform(w, lambda x: F.xxhash64(x))
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n))))
-    return F.array_distinct(F.when(F.size(w) >= n, grams).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>")))
-
-
 def tokens(c: Column) -> Column:
     """Search terms: lower-case runs of letters and digits of two characters or more that are no stopwords."""
     found = F.regexp_extract_all(F.lower(c), F.lit(f"({it.WORD})"), 1)

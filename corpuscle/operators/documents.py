@@ -26,12 +26,12 @@ def arrow_map(df: DataFrame, inputs: list[str], fn: Callable[..., dict], outputs
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    names = [f.name for f in StructType.fromDDL(outputs)]
+    types = to_arrow_schema(StructType.fromDDL(f"{outputs}, error string"))
+    names = types.names[:-1]
 
     def run(batches):
         import pyarrow as pa
 
-        types = to_arrow_schema(StructType.fromDDL(f"{outputs}, error string"))
         for b in batches:
             cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs]
             out: dict[str, list] = {n: [] for n in [*names, "error"]}
@@ -73,13 +73,44 @@ def select_documents(docs: DataFrame, n: int | None = None, language: bool = Tru
     last = out.where("verdict = 'keep'").select("date", "docweb_id").orderBy(*newest()).limit(n).agg(F.count("*").alias("n"), F.min_by(F.struct("date", "docweb_id"), F.struct(F.coalesce("date", F.lit("")), F.col("docweb_id"))).alias("x")).first()
     if not n or last.n < n:
         return out if n else out.limit(0)
-    edge = F.struct(F.lit(last.x.date or ""), F.lit(last.x.docweb_id))
-    return out.where(F.struct(F.coalesce("date", F.lit("")), F.col("docweb_id")) >= edge)
+    day, edge = F.coalesce("date", F.lit("")), last.x.date or ""
+    return out.where((day > edge) | ((day == edge) & (F.col("docweb_id") >= last.x.docweb_id)))
+
+
+def _sequences(batches):
+    """Five-word sequences as hashes: words are hashed once each, sequences by vector steps over the words' hashes."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    n, step = it.SHINGLE_WORDS, np.uint64(0x100000001B3)
+    for b in batches:
+        known: dict[str, int] = {}
+        sets = []
+        for body in b.column(1).to_pylist():
+            plain = re.sub(r"\bx{2,}\b|\[omissis\]", "x", re.sub(r"\d+", "0", (body or "").lower()))
+            words = re.findall(r"\w+", plain)
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
+            h = np.array([known[w] for w in words], dtype=np.uint64)
+            rows = np.lib.stride_tricks.sliding_window_view(h, n) if len(h) >= n else h[None, :]
+            acc = np.zeros(len(rows), np.uint64)
+            for k in range(rows.shape[1]):
+                acc = (acc ^ rows[:, k]) * step
+                acc ^= acc >> np.uint64(32)
+            sets.append(np.unique(acc).view(np.int64) if len(h) else np.zeros(0, np.int64))
+        offsets = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["id", "s"])
 
 
 def shingles(docs: DataFrame, id_col: str = "docweb_id", body_col: str = "body") -> DataFrame:
-    """(id, s): distinct hashes of five-word sequences, once per id."""
-    return docs.select(F.col(id_col).alias("id"), C.word_sequences(C.words(F.col(body_col))).alias("s")).where("size(s) > 0").dropDuplicates(["id"])
+    """(id, s): distinct hashes of five-word sequences (of all words if there are fewer), once per id; ids without any word
+    are left out. In JVM expressions this is quadratic: lambdas compute the word list anew for each position."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(body_col).alias("body"))
+    return rows.mapInArrow(_sequences, f"id {dict(rows.dtypes)['id']}, s array<bigint>").where("size(s) > 0").dropDuplicates(["id"])
 
 
 def _sign(batches):
@@ -177,7 +208,7 @@ def procedural_phrases(docs: DataFrame, boilerplate: list[str], min_docs: int =
     ph = materialise(arrow_map(docs, ["body", "title"], cut, "ph array<string>", ["docweb_id", "argomenti"]).select("docweb_id", "argomenti", F.explode("ph").alias("phrase")), "phrases")
     often = ph.groupBy("phrase").agg(F.count_distinct("docweb_id").alias("docs")).where(F.col("docs") >= min_docs)
     kept = ph.join(often, "phrase").where(F.size("argomenti") > 0)
-    tags = kept.groupBy("phrase", F.explode(F.array_distinct("argomenti")).alias("tag")).agg(F.count_distinct("docweb_id").alias("n")).groupBy("phrase").agg(F.max("n").alias("top_tag"))
+    tags = kept.select("phrase", "docweb_id", F.explode(F.array_distinct("argomenti")).alias("tag")).groupBy("phrase", "tag").agg(F.count_distinct("docweb_id").alias("n")).groupBy("phrase").agg(F.max("n").alias("top_tag"))
     tagged = kept.groupBy("phrase", "docs").agg(F.count_distinct("docweb_id").alias("tagged"))
     return tagged.join(tags, "phrase").where((F.col("tagged") >= min_tagged) & (F.col("top_tag") <= max_topic * F.col("tagged"))).select("phrase", "docs", "tagged", "top_tag")
 

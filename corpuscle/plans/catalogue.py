@@ -279,15 +279,15 @@ def iso_dates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     rf"""WITH f AS (SELECT docweb_id, body, regexp_extract_all(body, '{it.FINE}', 1) AS w, regexp_extract_all(body, '{it.FINE}', 2) AS c FROM docs)
-      SELECT docweb_id, array_to_string(list_sort(list_distinct([(replace(w[i], '.', '') || '.' || CASE WHEN c[i] = '' THEN '00' ELSE c[i] END)::DOUBLE::BIGINT for i in range(1, len(w) + 1)])), ',') AS fines,
-        try_cast(nullif(regexp_extract(body, '{it.REGISTRO}', 1), '') AS INTEGER) AS registro_n,
+      SELECT docweb_id, array_to_string(list_sort(list_distinct([(replace(w[i], '.', '') || '.' || CASE WHEN coalesce(c[i], '') = '' THEN '00' ELSE c[i] END)::DOUBLE::BIGINT for i in range(1, len(w) + 1)])), ',') AS fines,
+        try_cast(nullif(regexp_extract(body, '{it.REGISTRO}', 1), '') AS INTEGER)::VARCHAR AS registro_n,
         array_to_string(list_sort(list_distinct(list_filter([x::BIGINT for x in regexp_extract_all(body, '{it.DOCWEB_TEXT}', 1)], lambda x: x <> docweb_id))), ',') AS refs,
         len(regexp_extract_all(body, '\bXX\b')) AS placeholders FROM f"""
 )
 def extracted_fields(spark: SparkSession, d: str) -> DataFrame:
     b = F.col("body")
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), ",")
-    return table(spark, d, "docs").select("docweb_id", joined(C.fines(b)).alias("fines"), C.registro(b).alias("registro_n"), joined(C.references(b, F.col("docweb_id"))).alias("refs"), C.placeholders(b).cast("bigint").alias("placeholders"))
+    return table(spark, d, "docs").select("docweb_id", joined(C.fines(b)).alias("fines"), C.registro(b).cast("string").alias("registro_n"), joined(C.references(b, F.col("docweb_id"))).alias("refs"), C.placeholders(b).cast("bigint").alias("placeholders"))
 
 
 @query(
@@ -446,10 +446,11 @@ def embedding_map(spark: SparkSession, d: str) -> DataFrame:
 _STATE = """st AS (SELECT docweb_id, arg_max(struct_pack(title, list_date, tipologia, argomenti, listing_text, fetch_status, fetched_at, raw_sha256), (written_at, log_id)) AS s, min(first_seen) AS first_seen FROM docs_state WHERE docweb_id IS NOT NULL GROUP BY docweb_id)"""
 
 
-@query(f"WITH {_STATE} SELECT docweb_id, s.title AS title, s.list_date AS list_date, s.fetch_status AS fetch_status, s.raw_sha256 AS raw_sha256, epoch_us(first_seen) AS first_seen, epoch_us(s.fetched_at) AS fetched_at FROM st")
+@query(f"WITH {_STATE} SELECT docweb_id, s.title AS title, s.list_date AS list_date, s.fetch_status::VARCHAR AS fetch_status, s.raw_sha256 AS raw_sha256, epoch_us(first_seen)::VARCHAR AS first_seen, epoch_us(s.fetched_at)::VARCHAR AS fetched_at FROM st")
 def current_state(spark: SparkSession, d: str) -> DataFrame:
     s = state.current_state(table(spark, d, "docs_state"))
-    return s.select("docweb_id", "title", "list_date", "fetch_status", "raw_sha256", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("fetched_at").alias("fetched_at"))
+    text = lambda c: c.cast("string")
+    return s.select("docweb_id", "title", "list_date", text(F.col("fetch_status")).alias("fetch_status"), "raw_sha256", text(F.unix_micros("first_seen")).alias("first_seen"), text(F.unix_micros("fetched_at")).alias("fetched_at"))
 
 
 @query(f"WITH {_STATE} SELECT docweb_id FROM st WHERE s.fetch_status IS NULL OR s.fetch_status NOT IN (200, 404, -1)")
@@ -488,20 +489,20 @@ def missing_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT docweb_id, any_value(title) AS title, any_value(date) AS date, any_value(tipologia) AS ty, any_value(argomenti) AS ar, any_value(length(body)) AS body_chars FROM docs WHERE docweb_id IN (SELECT docweb_id FROM chunks) GROUP BY docweb_id),
-      t AS (SELECT docweb_id, count(*) AS similar FROM (SELECT DISTINCT docweb_id, similar_docweb_id, date, title, url FROM duplicates WHERE docweb_id IS NOT NULL AND similar_docweb_id IS NOT NULL) GROUP BY docweb_id)
-      SELECT o.docweb_id AS id, title, strftime(try_cast(date AS DATE), '%Y-%m-%d') AS date, array_to_string(ty, ', ') AS types, array_to_string(ar[1:3], ', ') AS topics, coalesce(similar, 0) AS similar, body_chars FROM o LEFT JOIN t USING (docweb_id)"""
+      t AS (SELECT docweb_id, count(*) AS twins FROM (SELECT DISTINCT docweb_id, similar_docweb_id, date, title, url FROM duplicates WHERE docweb_id IS NOT NULL AND similar_docweb_id IS NOT NULL) GROUP BY docweb_id)
+      SELECT o.docweb_id AS id, title, strftime(try_cast(date AS DATE), '%Y-%m-%d') AS date, array_to_string(ty, ', ') AS types, array_to_string(ar[1:3], ', ') AS topics, coalesce(twins, 0) AS twins, body_chars FROM o LEFT JOIN t USING (docweb_id)"""
 )
 def exported_decisions(spark: SparkSession, d: str) -> DataFrame:
     e = export.decisions(table(spark, d, "docs"), table(spark, d, "chunks"), table(spark, d, "duplicates"))
-    return e.select("id", "title", F.date_format("date", "yyyy-MM-dd").alias("date"), F.array_join("types", ", ").alias("types"), F.array_join(F.slice("topics", 1, 3), ", ").alias("topics"), F.size("similar_decisions").cast("bigint").alias("similar"), F.length("body").cast("bigint").alias("body_chars"))
+    return e.select("id", "title", F.date_format("date", "yyyy-MM-dd").alias("date"), F.array_join("types", ", ").alias("types"), F.array_join(F.slice("topics", 1, 3), ", ").alias("topics"), F.size("similar_decisions").cast("bigint").alias("twins"), F.length("body").cast("bigint").alias("body_chars"))
 
 
 @query(
-    rf"""SELECT chunk_id AS id, docweb_id AS decision_id, chunk_index AS idx, section, coalesce(heading, '') AS heading, weight, try_cast(substr(date, 1, 4) AS INTEGER) AS year, array_to_string(tipologia, '|') AS types,
+    rf"""SELECT chunk_id AS id, docweb_id AS decision_id, chunk_index AS idx, section, coalesce(heading, '') AS heading, weight, try_cast(substr(date, 1, 4) AS INTEGER)::VARCHAR AS year, array_to_string(tipologia, '|') AS types,
       coalesce(list_has_any(tipologia, [{_CASES}]), false) AS is_case, regexp_replace(split_part(embed_text, chr(10) || chr(10), 1), '{it.HEADER_LABELS}', '', 'g') AS header, text FROM chunks"""
 )
 def exported_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return export.chunk_rows(table(spark, d, "chunks")).withColumn("types", F.array_join("types", "|")).drop("embedding")
+    return export.chunk_rows(table(spark, d, "chunks")).withColumn("year", F.col("year").cast("string")).withColumn("types", F.array_join("types", "|")).drop("embedding")
 
 
 @query(
