@@ -141,11 +141,12 @@ def mine_lines(docs: DataFrame, id_col: str = "docweb_id", url_col: str = "url",
     texts = rows.mapInArrow(_scan(depth, True), "site string, leaf long, key long, text string").join(small(leaves), ["site", "leaf"], "left_semi").select("site", "leaf", "key", "text")
     local = materialise(texts.mapInArrow(_local_templates(slot_share), "site string, leaf long, key long, local string"), "local")
     merged = local.select("site", "leaf", "local").distinct().groupBy("site", "leaf").applyInPandas(_merge_templates(slot_share), "site string, leaf long, local string, template string")
-    of_key = local.join(merged, ["site", "leaf", "local"]).groupBy("site", "leaf", "key").agg(F.min("template").alias("template"))
-    of_key = materialise(of_key, "wordings")
+    of_local = materialise(merged.withColumn("tid", F.xxhash64("site", "leaf", "template")), "merged")
+    of_key = materialise(local.join(of_local, ["site", "leaf", "local"]).groupBy("site", "leaf", "key").agg(F.min("tid").alias("tid")), "wordings")
     held = lines.join(small(leaves), ["site", "leaf"], "left_semi").join(small(of_key), ["site", "leaf", "key"])
-    templates = materialise(frequent(held.groupBy("site", "template").agg(F.count_distinct("doc").alias("docs"))), "templates")
-    covered = of_key.join(small(templates.select("site", "template")), ["site", "template"], "left_semi").select("site", "leaf", "key")
+    broad = materialise(frequent(held.groupBy("site", "tid").agg(F.count_distinct("doc").alias("docs"))), "templates")
+    covered = of_key.join(small(broad.select("site", "tid")), ["site", "tid"], "left_semi").select("site", "leaf", "key")
+    templates = of_local.groupBy("site", "tid").agg(F.min("template").alias("template")).join(broad, ["site", "tid"]).select("site", "template", "docs", "site_docs")
     wordings = materialise(frequent(lines.join(small(covered), ["site", "leaf", "key"], "left_semi").groupBy("site", "leaf", "key").agg(F.count_distinct("doc").alias("docs"))), "repeated")
     found = lines.join(small(wordings), ["site", "leaf", "key"]).select(F.col("doc").alias(id_col), "line_no", "site", "docs").distinct()
     return found, templates
