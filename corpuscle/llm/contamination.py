@@ -53,15 +53,20 @@ class Seeds:
         return p[self.table[p] == g]
 
     def choose(self, df: np.ndarray) -> None:
-        """Of each run of `window` words of an item, its n-gram rarest in the corpus becomes a seed. So every passage of
-        `window` words has one, however common its words; items shorter than that get their rarest n-gram."""
+        """Of each run of `window` words of an item, its n-gram rarest in the corpus becomes a seed, of those that are there
+        at all. So every passage of `window` words that a document has is found, however common its words; items shorter than
+        that get their rarest n-gram."""
+        df = np.where(df > 0, df, np.iinfo(np.int64).max)
         for item, at in enumerate(self.at):
             if not len(at):
                 continue
             span = min(len(at), self.window - self.n + 1)
             rare = df[at]
             for s in range(len(at) - span + 1):
-                best = int(at[s + int(rare[s : s + span].argmin())])
+                k = s + int(rare[s : s + span].argmin())
+                if rare[k] == np.iinfo(np.int64).max:
+                    continue
+                best = int(at[k])
                 own = self.items_of.setdefault(best, [])
                 if not own or own[-1] != item:
                     own.append(item)

@@ -167,6 +167,9 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     mix_type = dict(targets.dtypes)["mix_id"]
     asked = targets.where("mix_id is not null").groupBy("mix_id", source_name(F.col("source")).alias("source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("cap"), F.max("total_share_of_corpus").alias("size"))
     listed = sorted(asked.where("source is not null").limit(MAX_SOURCES + 1).collect(), key=lambda r: (r.mix_id, r.source))
+    if not listed:
+        records = spark.createDataFrame([], f"mix_id {mix_type}, `{id_col}` {id_type}, source string, tokens long, copies int")
+        return records, spark.createDataFrame([], f"mix_id {mix_type}, source string, target_share double, target_tokens long, actual_tokens long, records long, copies long, most_copies int, actual_share double")
     labelled = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source_name(F.col(source_col)).alias("source")).where("source is not null and text is not null")
     per_source = {r.source: r["count"] for r in labelled.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
     names = sorted({r.source for r in listed} | set(per_source))

@@ -33,6 +33,7 @@ WITH whole AS (
   SELECT id, source, marked, CASE WHEN size(w) >= 3 THEN xxhash64(w[size(w) - 3], w[size(w) - 2], w[size(w) - 1]) END AS tri,
     xxhash64(slice(w, greatest(1, size(w) - 8), greatest(0, least(6, size(w) - 3)))) AS before,
     tail RLIKE r"[.!?][»”’'\x{22})\]]*$" AS stopped,
+    tail RLIKE r"(?:^|[\s(’'])\p{L}{1,4}\.$" AS short_word,
     tail RLIKE r"(?:^|\n)\s*\p{Lu}[\p{L}' ’]*, \d{1,2}[°º]? \p{Ll}{3,} \d{4}$" AS dated,
     length(substring_index(tail, '\n', -1)) <= {line} AND instr(tail, '\n') > 0 AS own_line
   FROM final_words
@@ -44,7 +45,7 @@ WITH whole AS (
   SELECT e.id, e.source, c.inside, c.at_end,
     CASE
       WHEN e.marked THEN 'mark'
-      WHEN e.stopped AND c.inside >= {often} AND c.at_end - 1 <= {never} * c.inside THEN 'abbreviation'
+      WHEN e.short_word AND c.inside >= {often} AND c.at_end - 1 <= {never} * c.inside THEN 'abbreviation'
       WHEN e.stopped OR e.dated THEN 'whole'
       WHEN e.own_line AND c.contexts >= greatest(3, {rare} * (SELECT count(*) FROM ends)) AND c.at_end >= c.inside THEN 'whole'
       WHEN c.inside > 0 THEN 'sentence'
@@ -77,7 +78,7 @@ def truncated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     protocol numbers). Verdicts:
     'sentence' - the final trigram is known from inside of texts, and there goes on; 'word' - it stands nowhere else, so the
     last word is a part; 'mark' - a mark of the cut follows, such as an ellipsis; 'abbreviation' - it ends with a full stop,
-    but of a trigram found at least `often` times inside and, but for `never` of those, at no end ("pursuant to art.").
+    but after at most four letters, and in a trigram found at least `often` times inside and, but for `never` of those, at no end ("pursuant to art.").
 
     Null and empty texts, and rows with a null id, give no row. Texts of under three words have no trigram and are judged
     by their ending. A row repeated is a result repeated. An empty table gives an empty result."""
