@@ -11,24 +11,32 @@ MARK = r"(?:\s*(?:\.\.\.+|…|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|
 
 BLANK = " \\n\\r\\t\\u000b\\f\\u00a0\\u2028\\u2029"
 
-_WORDS = r"""transform(split(trim(regexp_replace(regexp_replace(regexp_replace(lower({text}), r"\n\s*", ' ¶ ¶ '), r"\b(?:https?://|www\.)[^\s/]+/", 'www/'), '[0-9]+', '0')), r"[\s\x{A0}]+"), x -> xxhash64(x))"""
+#: Line breaks become two words, numbers 0, and addresses lose their host. Only texts with an address pay for its pattern.
+_WORDS = r"""transform(split(regexp_replace(replace(lower(
+    CASE WHEN contains({text}, 'www.') OR contains({text}, '://') THEN regexp_replace({text}, r"(?:https?://|www\.)[^\s/]+/", 'www/') ELSE {text} END
+  ), '\n', ' ¶ ¶ '), '[0-9]+', '0'), r"[\s\x{A0}]+"), x -> xxhash64(x))"""
 
 #: Last characters of a text in which its final words, its mark and its last line are looked for.
-TAIL = 400
+TAIL, MARK_TAIL = 400, 60
 
+# A projection is computed anew for each use of its columns; what a generator gives is computed once. That is why words
+# and trimmed texts come out of an explode of one element.
 _SQL = r"""
 WITH whole AS (
-  SELECT `{id}` AS id, `{source}` AS source, trim(TRAILING '{blank}' FROM replace(`{text}`, '&nbsp;', ' ')) AS t FROM {docs} WHERE `{id}` IS NOT NULL
+  SELECT id, source, t FROM (SELECT `{id}` AS id, `{source}` AS source, `{text}` AS text FROM {docs} WHERE `{id}` IS NOT NULL)
+    LATERAL VIEW OUTER explode(array(trim(TRAILING '{blank}' FROM replace(text, '&nbsp;', ' ')))) AS t
 ), texts AS (
-  SELECT id, source, marked, left(t, length(t) - length(tail) + length(kept)) AS t, right(kept, {tail}) AS tail, length(t) - length(tail) + length(kept) > {tail} AS longer
-  FROM (SELECT *, tail <> kept AS marked FROM (SELECT *, regexp_replace(tail, r"{mark}", '') AS kept FROM (SELECT *, right(t, {tail} + 100) AS tail FROM whole WHERE t <> '')))
+  SELECT id, source, length(kept) < least({mark_tail}, length(t)) AS marked, left(t, length(t) - least({mark_tail}, length(t)) + length(kept)) AS t
+  FROM whole LATERAL VIEW OUTER explode(array(regexp_replace(right(t, {mark_tail}), r"{mark}", ''))) AS kept WHERE t <> ''
 ), trigrams AS (
   SELECT tri, count(*) AS inside
-  FROM (SELECT {words(t)} AS w FROM texts) LATERAL VIEW explode(transform(sequence(1, size(w) - 3), i -> xxhash64(w[i - 1], w[i], w[i + 1]))) AS tri
-  WHERE size(w) >= 4
+  FROM texts LATERAL VIEW OUTER explode(array({words(t)})) AS w
+    LATERAL VIEW OUTER explode(IF(size(w) >= 4, transform(sequence(1, size(w) - 3), i -> xxhash64(w[i - 1], w[i], w[i + 1])), array())) AS tri
+  WHERE tri IS NOT NULL
   GROUP BY tri
 ), final_words AS (
-  SELECT id, source, marked, tail, CASE WHEN longer THEN slice(w, 2, size(w)) ELSE w END AS w FROM (SELECT *, {words(tail)} AS w FROM texts)
+  SELECT id, source, marked, right(t, {tail}) AS tail, CASE WHEN length(t) > {tail} THEN slice(w, 2, size(w)) ELSE w END AS w
+  FROM texts LATERAL VIEW OUTER explode(array({words(right(t, {tail}))})) AS w
 ), ends AS (
   SELECT id, source, marked, CASE WHEN size(w) >= 3 THEN xxhash64(w[size(w) - 3], w[size(w) - 2], w[size(w) - 1]) END AS tri,
     xxhash64(slice(w, greatest(1, size(w) - 8), greatest(0, least(6, size(w) - 3)))) AS before,
@@ -60,9 +68,9 @@ def _sql(docs: DataFrame, id_col: str, text_col: str, source_col: str, often: in
     view = f"docs_{uuid.uuid4().hex}"
     docs.createOrReplaceTempView(view)
     sql = _SQL
-    for k in ("t", "tail"):
+    for k in ("t", "right(t, {tail})"):
         sql = sql.replace("{words(" + k + ")}", _WORDS.replace("{text}", k))
-    for k, v in {"blank": BLANK, "tail": TAIL, "id": id_col, "text": text_col, "source": source_col, "mark": MARK, "docs": view, "often": often, "never": never, "rare": rare, "line": line}.items():
+    for k, v in {"blank": BLANK, "tail": TAIL, "mark_tail": MARK_TAIL, "id": id_col, "text": text_col, "source": source_col, "mark": MARK, "docs": view, "often": often, "never": never, "rare": rare, "line": line}.items():
         sql = sql.replace("{" + k + "}", str(v))
     return docs.sparkSession.sql(sql + query)
 
