@@ -17,7 +17,7 @@ _WORDS = r"""transform(split(regexp_replace(replace(lower(
   ), '\n', ' ¶ ¶ '), '[0-9]+', '0'), r"[\s\x{A0}]+"), x -> xxhash64(x))"""
 
 #: Last characters of a text in which its final words, its mark and its last line are looked for.
-TAIL, MARK_TAIL = 400, 60
+TAIL, MARK_TAIL = 200, 60
 
 # A projection is computed anew for each use of its columns; what a generator gives is computed once. That is why words
 # and trimmed texts come out of an explode of one element.
@@ -40,9 +40,9 @@ WITH whole AS (
 ), ends AS (
   SELECT id, source, marked, CASE WHEN size(w) >= 3 THEN xxhash64(w[size(w) - 3], w[size(w) - 2], w[size(w) - 1]) END AS tri,
     xxhash64(slice(w, greatest(1, size(w) - 8), greatest(0, least(6, size(w) - 3)))) AS before,
-    tail RLIKE r"[.!?][»”’'\x{22})\]]*$" AS stopped,
-    tail RLIKE r"(?:^|[\s(’'])\p{L}{1,4}\.$" AS short_word,
-    tail RLIKE r"(?:^|\n)\s*\p{Lu}[\p{L}' ’]*, \d{1,2}[°º]? \p{Ll}{3,} \d{4}$" AS dated,
+    right(tail, 12) RLIKE r"[.!?][»”’'\x{22})\]]*$" AS stopped,
+    right(tail, 12) RLIKE r"(?:^|[\s(’'])\p{L}{1,4}\.$" AS short_word,
+    substring_index(tail, '\n', -1) RLIKE r"^\s*\p{Lu}[\p{L}' ’]*, \d{1,2}[°º]? \p{Ll}{3,} \d{4}$" AS dated,
     length(substring_index(tail, '\n', -1)) <= {line} AND instr(tail, '\n') > 0 AS own_line
   FROM final_words
 ), terminal AS (
@@ -55,7 +55,7 @@ WITH whole AS (
       WHEN e.marked THEN 'mark'
       WHEN e.short_word AND c.inside >= {often} AND c.at_end - 1 <= {never} * c.inside THEN 'abbreviation'
       WHEN e.stopped OR e.dated THEN 'whole'
-      WHEN e.own_line AND c.contexts >= greatest(3, {rare} * (SELECT count(*) FROM ends)) AND c.at_end >= c.inside THEN 'whole'
+      WHEN e.own_line AND c.contexts >= greatest(3, {rare} * (SELECT count(`{text}`) FROM {docs})) AND c.at_end >= c.inside THEN 'whole'
       WHEN c.inside > 0 THEN 'sentence'
       ELSE 'word'
     END AS verdict
