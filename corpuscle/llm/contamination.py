@@ -52,21 +52,22 @@ class Seeds:
         p = np.minimum(np.searchsorted(self.table, g), len(self.table) - 1)
         return p[self.table[p] == g]
 
-    def choose(self, df: np.ndarray) -> None:
-        """Of each run of `window` words of an item, its n-gram rarest in the corpus becomes a seed, of those that are there
-        at all. So every passage of `window` words that a document has is found, however common its words; items shorter than
-        that get their rarest n-gram."""
-        df = np.where(df > 0, df, np.iinfo(np.int64).max)
+    def choose(self, df: np.ndarray, docs: int, rare: float) -> None:
+        """Of each run of `window` words of an item whose n-grams are all in the corpus, the rarest becomes a seed: so each
+        passage of `window` words that a document may hold is found, however common its words. Of a run that no document
+        can hold as a whole, the rarest n-gram that is there becomes a seed for edited copies, if it is rare: in at most ten
+        documents, or a share `rare` of them. Items shorter than a run count as one run."""
+        bound = max(10, rare * docs)
         for item, at in enumerate(self.at):
-            if not len(at):
-                continue
             span = min(len(at), self.window - self.n + 1)
-            rare = df[at]
-            for s in range(len(at) - span + 1):
-                k = s + int(rare[s : s + span].argmin())
-                if rare[k] == np.iinfo(np.int64).max:
+            for s in range(len(at) - span + 1 if span else 0):
+                run = at[s : s + span]
+                there = run[df[run] > 0]
+                if not len(there):
+                    continue
+                best = int(there[df[there].argmin()])
+                if len(there) < span and df[best] > bound:
                     continue
-                best = int(at[k])
                 own = self.items_of.setdefault(best, [])
                 if not own or own[-1] != item:
                     own.append(item)
@@ -111,8 +112,9 @@ def _count(seeds: Seeds):
     def count(batches):
         import pyarrow as pa
 
-        df = np.zeros(len(seeds.table), np.int64)
+        df = np.zeros(len(seeds.table) + 1, np.int64)  # the last counts the documents
         for b in batches:
+            df[-1] += b.num_rows
             for text in b.column(0).to_pylist():
                 df[np.unique(seeds.hits(_coded(seeds, text)))] += 1
         at = np.flatnonzero(df)
@@ -143,7 +145,7 @@ def _match(seeds: Seeds, min_run: int, min_share: float):
     return match
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_run: int = 12, n: int = 5, min_share: float = 0.5, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_run: int = 12, n: int = 5, min_share: float = 0.5, rare: float = 0.0005, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc, item, run, score, share): every document with a passage of a test item.
 
     `run` is the longest sequence of consecutive words they share, `score` that of the best local alignment (2 a match, -1
@@ -152,8 +154,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Items come in blocks of a fixed number, and each block is held against all documents: the corpus is read twice a block
     and never shuffled. The first pass counts in how many documents each n-gram of the items is; the second looks
-    for seeds, the rarest n-gram of each run of min_run words, and aligns only where one is found. As every such run has
-    a seed, no shared run of min_run words is missed.
+    for seeds, the rarest n-gram of each run of min_run words (see Seeds.choose), and aligns only where one is found. As every
+    run that a document can hold has a seed, no shared run of min_run words is missed; an edited copy is found if it
+    keeps a rare n-gram.
 
     Null ids give no rows; null and empty texts hold nothing; items without n words in a row are never found; items that
     repeat an id count each, and documents that repeat a row give one row. Empty in, empty out."""
@@ -168,9 +171,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         seeds = Seeds(sorted(((r.i, r.t or "") for r in part.collect())), n, min_run)
         if not len(seeds.table):
             continue
-        df = np.zeros(len(seeds.table), np.int64)
+        df = np.zeros(len(seeds.table) + 1, np.int64)
         for r in corpus.select("text").mapInArrow(_count(seeds), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
             df[r.gram] = r.df
-        seeds.choose(df)
+        seeds.choose(df[:-1], int(df[-1]), rare)
         found = found.unionByName(corpus.mapInArrow(_match(seeds, min_run, min_share), schema))
     return found.groupBy("doc", "item").agg(F.max("run").alias("run"), F.max("score").alias("score"), F.max("share").alias("share"))
