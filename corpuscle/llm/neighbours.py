@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,13 @@ from corpuscle.session import materialise
 #: Vectors taken to the driver to place the lists' centres; everything else covers all vectors.
 TRAIN_ROWS = 20_000
 MAX_LISTS = 4096
+#: Lists looked through for a vector are the square root of the number of lists, at least this many (recall: see README).
+MIN_PROBES = 8
+
+
+def probes_for(lists: int) -> int:
+    """How many of so many lists are looked through for a vector."""
+    return min(lists, max(MIN_PROBES, math.isqrt(lists - 1) + 1))
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -84,14 +93,15 @@ def unit_classes(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> tuple[
     return reps.select("id", "v"), members
 
 
-def nearest(reps: DataFrame, k: int = 10, dim: int = 64, min_cosine: float | None = None, probes: int = 4, list_rows: int = 400, block: int = 16, eps: float = 2.1, cell_rows: int = 8192, seed: int = 7) -> DataFrame:
+def nearest(reps: DataFrame, k: int = 10, dim: int = 64, min_cosine: float | None = None, probes: int | None = None, list_rows: int = 400, block: int = 16, eps: float = 2.1, cell_rows: int = 8192, seed: int = 7) -> DataFrame:
     """(id, other, cosine): for every row of reps (id, v) its k nearest other rows, nearest first, approximately.
 
     Lists: k-means centres, one for about list_rows vectors (at most MAX_LISTS), placed on at most TRAIN_ROWS vectors chosen
-    by hash; all vectors are then put into the list of their nearest centre, and looked for in `probes` lists. Lists
-    larger than cell_rows are cut into cells on the side searched and on the side asked, so a list that holds a third of all
-    vectors is spread over many tasks, and each task holds at most two cells. Inside, see adaptive_scan. Accuracy is measured
-    against brute force in the tests. With min_cosine only rows at least so similar are given, and abandoned earlier."""
+    by hash; all vectors are then put into the list of their nearest centre, and looked for in `probes` lists, by default as
+    many as probes_for() says, which grow with the lists. Lists larger than cell_rows are cut into cells on the side searched
+    and on the side asked, so a list that holds a third of all vectors is spread over many tasks, and each task holds at
+    most two cells. Inside, see adaptive_scan. Accuracy is measured against brute force in the tests. With min_cosine only
+    rows at least so similar are given, and abandoned earlier."""
     spark, id_type = reps.sparkSession, dict(reps.dtypes)["id"]
     reps = materialise(reps, "reps")
     n = reps.count()
@@ -108,14 +118,13 @@ def nearest(reps: DataFrame, k: int = 10, dim: int = 64, min_cosine: float | Non
     train = (train / np.linalg.norm(train, axis=1, keepdims=True)) @ rot
     lists = int(min(max(1, n // list_rows), MAX_LISTS, len(train)))
     cent = centres(train.astype(np.float32), lists, seed)
-    np_probes = min(probes, lists)
+    np_probes = probes_for(lists) if probes is None else min(probes, lists)
 
     def assign(batches):
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        rows = max(1, 40_000 // np_probes)  # a vector becomes np_probes rows
+        for b in (b.slice(s, rows) for b in batches for s in range(0, b.num_rows, rows)):
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
             v = v / np.abs(v).max(1, keepdims=True)
             v = ((v / np.linalg.norm(v, axis=1, keepdims=True)) @ rot).astype(np.float32)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import contamination, distinctive, fusion, groups, mixing, near_duplicates, neighbours, repeated_lines, truncation
 from corpuscle.llm.queries import QUERIES, SQL
+from corpuscle.sources.tables import table
 
 CLASH = ["id", "text", "key", "v", "u", "m", "n", "g", "i", "value", "kind", "doc", "site", "line_no", "leaf", "list", "home", "rep", "sig", "a", "b", "item", "tokens", "soft", "w", "t", "tri", "tail"]
 
@@ -166,6 +167,26 @@ def test_neighbours_recall(spark):
     assert all(len(v) <= 10 and abs(c - s[i, o]) < 1e-4 for i, v in got.items() for c, o in v)
 
 
+def test_neighbours_recall_on_chunks_at_defaults(spark):
+    reps, _ = neighbours.unit_classes(table(spark, "/root/testdata/sf0.1", "chunks"), "chunk_id", "embedding", 64)
+    rows = sorted((r.id, r.v) for r in reps.collect())
+    at = {c: i for i, (c, _) in enumerate(rows)}
+    u = np.array([v for _, v in rows], np.float64)
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32)
+    got = defaultdict(set)
+    for r in neighbours.nearest(reps, 10).collect():
+        got[at[r.id]].add(at[r.other])
+    asked = range(0, len(u), 5)
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -2
+    hits = [len(got[i] & set(np.argpartition(-x, 10)[:10].tolist())) / 10 for i, x in zip(asked, s)]
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+
+
+def test_probes_grow_with_the_lists():
+    assert [neighbours.probes_for(n) for n in (1, 5, 19, 190, 4096)] == [1, 5, 8, 14, 64]
+
+
 def test_pairs_copies_and_bad_vectors(spark):
     x = vectors(400, 2, copies=3)
     bad = [("n", None), ("z", [0.0] * 64), ("h", [1.0] * 32), ("q", [float("nan")] * 64), (None, [1.0] * 64), ("o", [None] + [1.0] * 63)]
