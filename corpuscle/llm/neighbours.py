@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.session import materialise
+from corpuscle.session import materialise, skew_join
 
 #: Vectors taken to the driver to place the lists' centres; everything else covers all vectors.
 TRAIN_ROWS = 20_000
@@ -170,6 +170,17 @@ def nearest(reps: DataFrame, k: int = 10, dim: int = 64, min_cosine: float | Non
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
 
 
+def nearest_of_members(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, rep, other, cosine): for every row of members (id, rep) what nearest() gave for its representative.
+
+    `other` is a representative again; the ids with equal vectors are those with the same rep. An id whose representative has
+    no neighbour keeps one row, with nulls. Representatives of many ids are joined where these are."""
+    members = materialise(members, "members")
+    lists = near.groupBy(F.col("id").alias("rep")).agg(F.collect_list(F.struct("other", "cosine")).alias("near"))
+    of_rep = materialise(members.groupBy("rep").agg(F.count("*").alias("copies")).join(lists, "rep", "left"), "near")
+    return skew_join(members, of_rep, ["rep"], "copies", members.count()).select("id", "rep", F.explode_outer("near").alias("n")).select("id", "rep", "n.other", "n.cosine")
+
+
 def similar_pairs(rows: DataFrame, id_col: str, vec_col: str, min_cosine: float, k: int = 10, dim: int = 64, **kw) -> DataFrame:
     """(a, b, cosine): pairs of different ids, a < b, among each id's k nearest with at least min_cosine, from either side.
 

@@ -54,9 +54,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest representatives of equal vectors, for every vector."""
-    reps, _ = neighbours.unit_classes(table(spark, d, "chunks"), "chunk_id", "embedding", 64)
-    return neighbours.nearest(reps, 10).select(F.col("id").alias("chunk_id"), F.col("other").alias("similar_chunk_id"), F.round("cosine", 5).alias("cosine"))
+    """For every vector its representative, the smallest id with an equal vector, and the ten representatives nearest to that.
+
+    A representative without neighbours keeps its rows, with nulls. The copies of a neighbour are the rows with that representative."""
+    reps, members = neighbours.unit_classes(table(spark, d, "chunks"), "chunk_id", "embedding", 64)
+    found = neighbours.nearest_of_members(members, neighbours.nearest(reps, 10))
+    return found.select(F.col("id").alias("chunk_id"), F.col("rep").alias("representative"), F.col("other").alias("similar_chunk_id"), F.round("cosine", 5).alias("cosine"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -202,6 +202,21 @@ def test_pairs_copies_and_bad_vectors(spark):
     assert neighbours.similar_pairs(df.limit(1), "cid", "vec", 0.95).count() == 0
 
 
+def test_nearest_of_every_vector(spark, tmp_path):
+    x = vectors(60, 5, copies=50)
+    rows = [(f"c{i:03d}", r.tolist()) for i, r in enumerate(x)]
+    for d, some in (("a", rows), ("b", rows[-50:])):
+        spark.createDataFrame(some, "chunk_id string, embedding array<float>").write.parquet(f"{tmp_path}/{d}/chunks.parquet")
+    got = defaultdict(list)
+    for r in QUERIES["p5_nearest"](spark, f"{tmp_path}/a").collect():
+        got[r.chunk_id].append((r.representative, r.similar_chunk_id, r.cosine))
+    assert set(got) == {c for c, _ in rows} and all(len(set(v)) == len(v) == 10 for v in got.values())
+    assert all(sorted(got[c]) == sorted(got["c000"]) and got[c][0][0] == "c000" for c, _ in rows[-50:])
+    assert all(r[0] == c for c, v in got.items() if c < rows[-50][0] for r in v)
+    alone = QUERIES["p5_nearest"](spark, f"{tmp_path}/b").collect()  # one class: no other vector, but every chunk is there
+    assert {(r.chunk_id, r.representative, r.similar_chunk_id) for r in alone} == {(c, rows[-50][0], None) for c, _ in rows[-50:]} and len(alone) == 50
+
+
 def test_abandoning_early_loses_little():
     x = vectors(2000, 3).astype(np.float64)
     x = ((x / np.linalg.norm(x, axis=1, keepdims=True)) @ neighbours.rotation(64, 7)).astype(np.float32)
