@@ -1,4 +1,4 @@
-"""Evaluation texts leaking into training text: rare n-gram seeds, then local alignment."""
+"""Evaluation texts leaking into training text: shared n-grams as seeds, exact bounds, then local alignment."""
 
 from __future__ import annotations
 
@@ -18,17 +18,22 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Seeds:
-    """The test items of one block: their words as numbers, their n-grams, and which of those serve as seeds."""
+    """The test items of one block: their words as numbers, their n-grams, and which items have an n-gram."""
 
-    def __init__(self, items: list[tuple], n: int, window: int):
-        self.n, self.window = n, window
+    def __init__(self, items: list[tuple], n: int):
+        self.n = n
         self.ids = [i for i, _ in items]
         self.vocab: dict[str, int] = {}
         self.codes = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(t)], np.int64) for _, t in items]
         own = [self.grams(c) for c in self.codes]
         self.table = np.unique(np.concatenate([np.zeros(0, np.int64), *own]))
         self.at = [np.searchsorted(self.table, g) for g in own]
-        self.items_of: dict[int, list[int]] = {}
+        sets = [np.unique(a) for a in self.at]
+        gram, item = np.concatenate([np.zeros(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), [len(a) for a in sets])
+        self.owners = item[np.argsort(gram, kind="stable")]
+        self.first = np.searchsorted(np.sort(gram), np.arange(len(self.table) + 1))
+        self.ended = [np.append(a, -1) for a in self.at]
+        self.bags = [np.unique(c, return_counts=True) for c in self.codes]
 
     def grams(self, codes: np.ndarray) -> np.ndarray:
         """A number for each run of n words, none for runs with a word that no item has."""
@@ -52,25 +57,59 @@ class Seeds:
         p = np.minimum(np.searchsorted(self.table, g), len(self.table) - 1)
         return p[self.table[p] == g]
 
-    def choose(self, df: np.ndarray, docs: int, rare: float) -> None:
-        """Of each run of `window` words of an item whose n-grams are all in the corpus, the rarest becomes a seed: so each
-        passage of `window` words that a document may hold is found, however common its words. Of a run that no document
-        can hold as a whole, the rarest n-gram that is there becomes a seed for edited copies, if it is rare: in at most ten
-        documents, or a share `rare` of them. Items shorter than a run count as one run."""
-        bound = max(10, rare * docs)
-        for item, at in enumerate(self.at):
-            span = min(len(at), self.window - self.n + 1)
-            for s in range(len(at) - span + 1 if span else 0):
-                run = at[s : s + span]
-                there = run[df[run] > 0]
-                if not len(there):
-                    continue
-                best = int(there[df[there].argmin()])
-                if len(there) < span and df[best] > bound:
-                    continue
-                own = self.items_of.setdefault(best, [])
-                if not own or own[-1] != item:
-                    own.append(item)
+    def sharing(self, p: np.ndarray) -> np.ndarray:
+        """The items that have any of the n-grams at the positions p of `table`, ascending."""
+        size = self.first[p + 1] - self.first[p]
+        return np.unique(self.owners[np.repeat(self.first[p] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+
+    def runs(self, items: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """For each item at least the length of the longest run of words that it shares with the text whose n-grams are p:
+        its longest stretch of n-grams that are all there, in words."""
+        there = np.zeros(len(self.table) + 1, bool)
+        there[p] = True
+        seq = there[np.concatenate([self.ended[i] for i in items])]  # the last is never there: items end
+        gaps = np.flatnonzero(~seq)
+        ends = np.cumsum([len(self.ended[i]) for i in items]) - 1
+        best = np.maximum.reduceat(np.diff(gaps, prepend=-1) - 1, np.concatenate([[0], np.searchsorted(gaps, ends)[:-1] + 1]))
+        return np.where(best > 0, best + self.n - 1, 0)
+
+    def common(self, items: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For each item the words that it shares with a coded text, in whatever order: no alignment has more matches."""
+        have = np.bincount(codes, minlength=len(self.vocab) + 1)
+        words, times = (np.concatenate([self.bags[i][k] for i in items]) for k in (0, 1))
+        starts = np.cumsum([0] + [len(self.bags[i][0]) for i in items[:-1]])
+        return np.add.reduceat(np.minimum(have[words], times), starts)
+
+
+def best_stretch(known: np.ndarray, most: int) -> int:
+    """Highest sum over at most `most` words of a text in a row, 2 for one that the item has, -1 for another. An alignment over
+    these words scores no more."""
+    c = np.concatenate([[0], np.cumsum(3 * known.astype(np.int64) - 1)])
+    n, w = len(c), most + 1
+    blocks = np.concatenate([c, np.full(-n % w, c.max())]).reshape(-1, w)
+    low = np.minimum.accumulate(blocks, 1).ravel()[:n]
+    if n > w:  # the least of the last w sums: from here back to the block's start, and from its predecessor's end
+        after = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+        low[w - 1 :] = np.minimum(low[w - 1 :], after[: n - w + 1])
+    return int((c - low).max())
+
+
+def places(item: np.ndarray) -> dict[int, int]:
+    """For each word of an item the bits of its places."""
+    out: dict[int, int] = {}
+    for k, w in enumerate(item.tolist()):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def common_in_order(bits: dict[int, int], length: int, text: list[int]) -> int:
+    """Length of the longest common subsequence of an item of that length, given by places(), and those words of a coded
+    text that it has, a few operations on one number for each. No alignment has more matches."""
+    full = v = (1 << length) - 1
+    for w in text:
+        u = v & bits[w]
+        v = (v + u | v - u) & full
+    return length - v.bit_count()
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -108,35 +147,40 @@ def _coded(seeds: Seeds, text: str | None) -> np.ndarray:
     return np.array([get(w, 0) for w in words_of(text)], np.int64)
 
 
-def _count(seeds: Seeds):
-    def count(batches):
-        import pyarrow as pa
-
-        df = np.zeros(len(seeds.table) + 1, np.int64)  # the last counts the documents
-        for b in batches:
-            df[-1] += b.num_rows
-            for text in b.column(0).to_pylist():
-                df[np.unique(seeds.hits(_coded(seeds, text)))] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["gram", "df"])
-
-    return count
-
-
 def _match(seeds: Seeds, min_run: int, min_share: float):
     def match(batches):
+        from functools import lru_cache
+
         import pyarrow as pa
 
+        bits = lru_cache(4096)(lambda i: places(seeds.codes[i]))
+        mark = np.zeros(len(seeds.vocab) + 1, bool)
+        lengths = np.array([len(c) for c in seeds.codes])
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 codes = _coded(seeds, text)
-                got = {i for p in set(seeds.hits(codes).tolist()) for i in seeds.items_of.get(p, ())}
-                for i in sorted(got):
+                p = np.unique(seeds.hits(codes))
+                if not len(p):
+                    continue
+                items = seeds.sharing(p)
+                least = min_share * lengths[items] - 1e-6
+                by_run, by_share = seeds.runs(items, p) >= min_run, seeds.common(items, codes) >= least
+                for k in np.flatnonzero(by_run | by_share):
+                    i = int(items[k])
                     item = seeds.codes[i]
-                    run = longest_run(item, codes)
+                    if not by_run[k]:
+                        mark[item] = True
+                        known = mark[codes]
+                        mark[item] = False
+                        # a score of 2 * least over m matches spans at most 3 * m - 2 * least words of the text
+                        if best_stretch(known, int(3 * len(item) - 2 * least[k])) < 2 * least[k] or common_in_order(bits(i), len(item), codes[known].tolist()) < least[k]:
+                            continue
                     score, _ = align(item, codes)
                     share = score / (2.0 * len(item))
+                    if share < min_share and not by_run[k]:
+                        continue
+                    run = longest_run(item, codes)
                     if run >= min_run or share >= min_share:
                         rows.append((doc, seeds.ids[i], run, score, share))
             types = (b.schema.field(0).type, pa.int64(), pa.int32(), pa.float64(), pa.float64())
@@ -145,18 +189,18 @@ def _match(seeds: Seeds, min_run: int, min_share: float):
     return match
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_run: int = 12, n: int = 5, min_share: float = 0.5, rare: float = 0.0005, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_run: int = 12, n: int = 5, min_share: float = 0.5, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc, item, run, score, share): every document with a passage of a test item.
 
     `run` is the longest sequence of consecutive words they share, `score` that of the best local alignment (2 a match, -1
     a mismatch or gap), `share` the score divided by that of the whole item. A pair is given if run >= min_run, or share >=
     min_share: an edited or paraphrased copy.
 
-    Items come in blocks of a fixed number, and each block is held against all documents: the corpus is read twice a block
-    and never shuffled. The first pass counts in how many documents each n-gram of the items is; the second looks
-    for seeds, the rarest n-gram of each run of min_run words (see Seeds.choose), and aligns only where one is found. As every
-    run that a document can hold has a seed, no shared run of min_run words is missed; an edited copy is found if it
-    keeps a rare n-gram.
+    Items come in blocks of a fixed number, and each block is held against all documents: the corpus is read once a block
+    and never shuffled. Every n-gram of an item is a seed, however many documents have it: all pairs that share one are
+    judged, so no shared run of min_run words is missed, and of edited copies only those that keep no n words in a row. A
+    pair is left unaligned only if its longest stretch of shared n-grams rules out min_run, and the words shared, those
+    close together or those in order rule out min_share; as these are bounds from above, nothing is lost by them.
 
     Null ids give no rows; null and empty texts hold nothing; items without n words in a row are never found; items that
     repeat an id count each, and documents that repeat a row give one row. Empty in, empty out."""
@@ -168,12 +212,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     blocks = max(1, -(-listed.count() // block_items))
     for k in range(blocks):
         part = listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else listed
-        seeds = Seeds(sorted(((r.i, r.t or "") for r in part.collect())), n, min_run)
+        seeds = Seeds(sorted(((r.i, r.t or "") for r in part.collect())), n)
         if not len(seeds.table):
             continue
-        df = np.zeros(len(seeds.table) + 1, np.int64)
-        for r in corpus.select("text").mapInArrow(_count(seeds), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
-            df[r.gram] = r.df
-        seeds.choose(df[:-1], int(df[-1]), rare)
         found = found.unionByName(corpus.mapInArrow(_match(seeds, min_run, min_share), schema))
     return found.groupBy("doc", "item").agg(F.max("run").alias("run"), F.max("score").alias("score"), F.max("share").alias("share"))

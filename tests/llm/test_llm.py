@@ -341,6 +341,34 @@ def test_edited_copies_are_found_by_alignment(spark):
     assert len(r) == 1 and r[0].doc == 1 and r[0].run < 12 and r[0].share > 0.5
 
 
+def test_edited_copies_are_found_however_many_there_are(spark):
+    w = [f"parola{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    item = " ".join(w)
+    edited = " ".join("estranea" if i % 8 == 7 else x for i, x in enumerate(w))
+    once = " ".join(["altro"] * 5 + w[:5] + w[8:13] + w[16:21] + ["altro"] * 5)  # some n-grams are in more documents than others
+    docs = [(i, edited) for i in range(20)] + [(100 + i, f"testo qualunque numero {i} senza nulla") for i in range(500)] + [(1000 + i, once) for i in range(5)]
+    r = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, item_text string")).collect()
+    assert {x.doc for x in r} == set(range(20)) and all(x.run == 7 and x.share > 0.75 for x in r)
+
+
+def test_bounds_leave_out_no_leak(spark):
+    rnd = random.Random(18)
+    vocab = [f"v{chr(97 + i)}" for i in range(26)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.choice([5, 9, 14, 30])))) for i in range(12)]
+    docs = [(d, " ".join(rnd.choices(vocab, k=15) + [x for x in items[d % 12][1].split() if rnd.random() < 0.85] + rnd.choices(vocab, k=15))) for d in range(120)]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    number = {w: i + 1 for i, w in enumerate(vocab)}
+    code = lambda t: np.array([number[w] for w in t.split()])
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            run, share = contamination.longest_run(code(x), code(t)), contamination.align(code(x), code(t))[0] / (2 * len(x.split()))
+            if grams(t) & grams(x) and (run >= 12 or share >= 0.5):
+                want[d, i] = (run, pytest.approx(share))
+    got = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()
+    assert {(r.doc, r.item): (r.run, r.share) for r in got} == want and len(want) > 60
+
+
 def test_alignment_against_the_textbook():
     rng = np.random.default_rng(0)
     for _ in range(30):
