@@ -166,7 +166,10 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     spark, id_type = docs.sparkSession, dict(docs.dtypes)[id_col]
     mix_type = dict(targets.dtypes)["mix_id"]
     asked = targets.where("mix_id is not null").groupBy("mix_id", source_name(F.col("source")).alias("source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("cap"), F.max("total_share_of_corpus").alias("size"))
-    listed = sorted(asked.where("source is not null").limit(MAX_SOURCES + 1).collect(), key=lambda r: (r.mix_id, r.source))
+    wanted = asked.where("source is not null")
+    if wanted.select("source").distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    listed = sorted(wanted.collect(), key=lambda r: (r.mix_id, r.source))
     if not listed:
         records = spark.createDataFrame([], f"mix_id {mix_type}, `{id_col}` {id_type}, source string, tokens long, copies int")
         return records, spark.createDataFrame([], f"mix_id {mix_type}, source string, target_share double, target_tokens long, actual_tokens long, records long, copies long, most_copies int, actual_share double")

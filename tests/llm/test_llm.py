@@ -411,6 +411,16 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.mix(df.limit(0), t, text_col="txt")[0].count() == 0 and mixing.mix(df, t.limit(0), text_col="txt")[1].count() == 0
 
 
+def test_no_target_is_dropped_at_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    docs = spark.createDataFrame([(i, f"testo numero {i}", "abc"[i % 3]) for i in range(30)], "doc_id long, text string, source string")
+    rows = [(m, s, 0.3, 2, 0.5) for m in (1, 2, 3) for s in "abc"]
+    report = mixing.mix(docs, spark.createDataFrame(rows, TARGETS))[1].collect()
+    assert {(r.mix_id, r.source) for r in report} == {r[:2] for r in rows} and len(report) == 9
+    with pytest.raises(ValueError, match="more than 3 sources"):
+        mixing.mix(docs, spark.createDataFrame([*rows, (1, "d", 0.1, 1, 0.5)], TARGETS))
+
+
 def test_held_out_records_are_classified():
     rows = sources(900)
     model = mixing.fit_classifier([(r[3], r[1]) for r in rows[:600]], list("abc"))
