@@ -19,6 +19,9 @@ _WORDS = r"""transform(split(regexp_replace(replace(lower(
 #: Last characters of a text in which its final words, its mark and its last line are looked for.
 TAIL, MARK_TAIL = 200, 60
 
+#: A trigram must be inside texts so many times at least before its absence at their ends says anything.
+LEAST_OFTEN = 200
+
 # A projection is computed anew for each use of its columns; what a generator gives is computed once. That is why words
 # and trimmed texts come out of an explode of one element.
 _SQL = r"""
@@ -53,7 +56,7 @@ WITH whole AS (
   SELECT e.id, e.source, c.inside, c.at_end,
     CASE
       WHEN e.marked THEN 'mark'
-      WHEN e.short_word AND c.inside >= {often} AND c.at_end - 1 <= {never} * c.inside THEN 'abbreviation'
+      WHEN e.short_word AND c.inside >= greatest({least}, {often} * (SELECT count(`{text}`) FROM {docs})) AND c.at_end - 1 <= {never} * c.inside THEN 'abbreviation'
       WHEN e.stopped OR e.dated THEN 'whole'
       WHEN e.own_line AND c.contexts >= greatest(3, {rare} * (SELECT count(`{text}`) FROM {docs})) AND c.at_end >= c.inside THEN 'whole'
       WHEN c.inside > 0 THEN 'sentence'
@@ -70,12 +73,12 @@ def _sql(docs: DataFrame, id_col: str, text_col: str, source_col: str, often: in
     sql = _SQL
     for k in ("t", "right(t, {tail})"):
         sql = sql.replace("{words(" + k + ")}", _WORDS.replace("{text}", k))
-    for k, v in {"blank": BLANK, "tail": TAIL, "mark_tail": MARK_TAIL, "id": id_col, "text": text_col, "source": source_col, "mark": MARK, "docs": view, "often": often, "never": never, "rare": rare, "line": line}.items():
+    for k, v in {"blank": BLANK, "tail": TAIL, "mark_tail": MARK_TAIL, "id": id_col, "text": text_col, "source": source_col, "mark": MARK, "docs": view, "often": often, "least": LEAST_OFTEN, "never": never, "rare": rare, "line": line}.items():
         sql = sql.replace("{" + k + "}", str(v))
     return docs.sparkSession.sql(sql + query)
 
 
-def truncated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", often: int = 2000, never: float = 0.001, rare: float = 0.0005, line: int = 60) -> DataFrame:
+def truncated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", often: float = 0.02, never: float = 0.001, rare: float = 0.0005, line: int = 60) -> DataFrame:
     """(id, source, inside, at_end, verdict): the texts that were cut off, and how that shows.
 
     Words are runs without white space, lower-cased, numbers as 0, hosts of addresses left out; a line break counts as two
@@ -86,14 +89,15 @@ def truncated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     protocol numbers). Verdicts:
     'sentence' - the final trigram is known from inside of texts, and there goes on; 'word' - it stands nowhere else, so the
     last word is a part; 'mark' - a mark of the cut follows, such as an ellipsis; 'abbreviation' - it ends with a full stop,
-    but after at most four letters, and in a trigram found at least `often` times inside and, but for `never` of those, at no end ("pursuant to art.").
+    but after at most four letters, and in a trigram found inside as often as `often` of the number of
+    texts (and LEAST_OFTEN times) and, but for `never` of those, at no end ("pursuant to art.").
 
     Null and empty texts, and rows with a null id, give no row. Texts of under three words have no trigram and are judged
     by their ending. A row repeated is a result repeated. An empty table gives an empty result."""
     return _sql(docs, id_col, text_col, source_col, often, never, rare, line, f"SELECT id AS `{id_col}`, source AS `{source_col}`, coalesce(inside, 0) AS inside, coalesce(at_end, 0) AS at_end, verdict FROM judged WHERE verdict <> 'whole'")
 
 
-def truncation_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", often: int = 2000, never: float = 0.001, rare: float = 0.0005, line: int = 60) -> DataFrame:
+def truncation_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", often: float = 0.02, never: float = 0.001, rare: float = 0.0005, line: int = 60) -> DataFrame:
     """(source, texts, cut, share, words, sentences, marks): how often each source cuts off its texts; see truncated().
 
     Sources are the same without regard to letter case and blanks around them; records without source are one row (null)."""

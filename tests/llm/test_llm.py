@@ -455,3 +455,10 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0), text_col="txt").count() == 0
 
 
+
+
+def test_abbreviations_are_judged_alike_in_any_corpus_size(spark):
+    for n in (300, 3000):
+        rows = [(i, f"Il testo numero {chr(97 + i % 26)} cita quanto detto ai sensi dell' art. quattro del codice vigente.", "s") for i in range(n)] + [(9999, "Si decide ai sensi dell' art.", "s")]
+        got = truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert [(r.doc_id, r.verdict) for r in got] == [(9999, "abbreviation")], n
