@@ -139,16 +139,15 @@ def minhash_bands(sets: DataFrame) -> DataFrame:
 def families(docs: DataFrame, threshold: float = it.DUP_JACCARD) -> DataFrame:
     """(docweb_id, representative): families of near-identical documents, by their newest member.
 
-    Equal sets of sequences are one class and take part once. In each bucket of a band, all classes are held against the
-    bucket's smallest id only, so a bucket of any size gives as many pairs as it has members; matches of exact Jaccard at or
-    above the threshold are joined to components. Documents without words are families of one."""
+    Equal sets of sequences are one class and take part once. In each bucket of a band, all classes are held against each
+    other, each pair once however many buckets it shares; matches of exact Jaccard at or above the threshold are joined to
+    components. Documents without words are families of one."""
     sets = shingles(docs)
     own = materialise(sets.withColumn("class", F.xxhash64(F.array_sort("s"), F.size("s"))), "sets")
     reps = own.groupBy("class").agg(F.min("id").alias("rep"))
     classes = own.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    bands = minhash_bands(classes)
-    first = bands.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = bands.join(first, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    bands = materialise(minhash_bands(classes), "bands")
+    pairs = bands.withColumnRenamed("id", "a").join(bands.withColumnRenamed("id", "b"), ["band", "key"]).where("a < b").select("a", "b").distinct()
     x, y = classes.select(F.col("id").alias("a"), F.col("s").alias("sa")), classes.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     close = pairs.join(x, "a").join(y, "b").where(common / (F.size("sa") + F.size("sb") - common) >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
