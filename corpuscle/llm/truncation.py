@@ -1,4 +1,4 @@
-"""Text cut off by field limits: word trigrams inside texts against those at their ends, in SQL only."""
+"""Text cut off by field limits: word trigrams inside lines against those at their ends, in SQL only."""
 
 from __future__ import annotations
 
@@ -6,101 +6,132 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-#: Marks that programs leave where they cut: dots, an ellipsis, either in brackets, halves of a character.
-MARK = r"(?:\s*(?:\.\.\.+|…|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\x{FFFD}+))+$"
+from corpuscle.session import HOT_SHARE, materialise
 
-BLANK = " \\n\\r\\t\\u000b\\f\\u00a0\\u2028\\u2029"
+#: What the shape of a trigram counts for, in occurrences: a share of the number of texts, and at least so many.
+PRIOR, LEAST_PRIOR = 0.01, 3
+#: A text was cut if its final trigram ends lines more seldom than this, in terms of the mean over all trigrams.
+SELDOM = 0.8
 
-#: Line breaks become two words, numbers 0, and addresses lose their host. Only texts with an address pay for its pattern.
-_WORDS = r"""transform(split(regexp_replace(replace(lower(
-    CASE WHEN contains({text}, 'www.') OR contains({text}, '://') THEN regexp_replace({text}, r"(?:https?://|www\.)[^\s/]+/", 'www/') ELSE {text} END
-  ), '\n', ' ¶ ¶ '), '[0-9]+', '0'), r"[\s\x{A0}]+"), x -> xxhash64(x))"""
-
-#: Last characters of a text in which its final words, its mark and its last line are looked for.
-TAIL, MARK_TAIL = 200, 60
-
-#: A trigram must be inside texts so many times at least before its absence at their ends says anything.
-LEAST_OFTEN = 200
-
-# A projection is computed anew for each use of its columns; what a generator gives is computed once. That is why words
-# and trimmed texts come out of an explode of one element.
-_SQL = r"""
-WITH whole AS (
-  SELECT id, source, t FROM (SELECT `{id}` AS id, `{source}` AS source, `{text}` AS text FROM {docs} WHERE `{id}` IS NOT NULL)
-    LATERAL VIEW OUTER explode(array(trim(TRAILING '{blank}' FROM replace(text, '&nbsp;', ' ')))) AS t
-), texts AS (
-  SELECT id, source, length(kept) < least({mark_tail}, length(t)) AS marked, left(t, length(t) - least({mark_tail}, length(t)) + length(kept)) AS t
-  FROM whole LATERAL VIEW OUTER explode(array(regexp_replace(right(t, {mark_tail}), r"{mark}", ''))) AS kept WHERE t <> ''
-), trigrams AS (
-  SELECT tri, count(*) AS inside
-  FROM texts LATERAL VIEW OUTER explode(array({words(t)})) AS w
-    LATERAL VIEW OUTER explode(IF(size(w) >= 4, transform(sequence(1, size(w) - 3), i -> xxhash64(w[i - 1], w[i], w[i + 1])), array())) AS tri
-  WHERE tri IS NOT NULL
-  GROUP BY tri
-), final_words AS (
-  SELECT id, source, marked, right(t, {tail}) AS tail, CASE WHEN length(t) > {tail} THEN slice(w, 2, size(w)) ELSE w END AS w
-  FROM texts LATERAL VIEW OUTER explode(array({words(right(t, {tail}))})) AS w
-), ends AS (
-  SELECT id, source, marked, CASE WHEN size(w) >= 3 THEN xxhash64(w[size(w) - 3], w[size(w) - 2], w[size(w) - 1]) END AS tri,
-    xxhash64(slice(w, greatest(1, size(w) - 8), greatest(0, least(6, size(w) - 3)))) AS before,
-    right(tail, 12) RLIKE r"[.!?][»”’'\x{22})\]]*$" AS stopped,
-    right(tail, 12) RLIKE r"(?:^|[\s(’'])\p{L}{1,4}\.$" AS short_word,
-    substring_index(tail, '\n', -1) RLIKE r"^\s*\p{Lu}[\p{L}' ’]*, \d{1,2}[°º]? \p{Ll}{3,} \d{4}$" AS dated,
-    length(substring_index(tail, '\n', -1)) <= {line} AND instr(tail, '\n') > 0 AS own_line
-  FROM final_words
-), terminal AS (
-  SELECT tri, count(*) AS at_end, count(DISTINCT before) AS contexts FROM ends WHERE tri IS NOT NULL GROUP BY tri
-), closing AS (
-  SELECT t.tri, t.at_end, t.contexts, coalesce(g.inside, 0) AS inside FROM terminal t LEFT JOIN trigrams g ON t.tri = g.tri
+# White space at the ends of texts and lines, and marks that programs leave where they cut (dots, an
+# ellipsis, either in brackets, halves of a character).
+BLANK = " \\n\\r\\t\\u000b\\f\\u00a0\\u2028\\u2029"
+MARK = r"(?:\s*+(?:\.\.\.+|…|\[\s*+(?:\.\.\.|…)\s*+\]|\(\s*+(?:\.\.\.|…)\s*+\)|\x{FFFD}+))+$"
+
+# The class of a word x, 1 to 6: by its last character, closing quotes and brackets aside, and by its first.
+_LAST = "right(trim(TRAILING '»”’\\'\")]' FROM x), 1)"
+_CLASS = f"CASE WHEN {_LAST} IN ('.', '!', '?') THEN 1L WHEN {_LAST} = ',' THEN 2L WHEN {_LAST} IN (';', ':') THEN 3L WHEN left(x, 1) = '0' AND {_LAST} = '0' THEN 4L WHEN left(x, 1) <> lower(left(x, 1)) THEN 5L ELSE 6L END"
+
+# Words of a line as hashes whose last three bits are the class, after two zeros for the beginning of the line. Numbers
+# become 0 and addresses lose their host; only lines with an address pay for that pattern.
+_WORDS = r"""concat(array(0L, 0L), transform(split(regexp_replace(
+    CASE WHEN contains(line, 'www.') OR contains(line, '://') THEN regexp_replace(line, r"(?:https?://|www\.)[^\s/]+/", 'www/') ELSE line END,
+    '[0-9]+', '0'), r"[ \t\r\x0B\f\x{A0}\x{2028}\x{2029}]+"), x -> (xxhash64(x) & -8L) | {class}))""".replace("{class}", _CLASS)
+
+# The trigram at word i of w as a hash whose last 13 bits are its shape: the classes of its words, and, where it is made of the
+# second to fourth word of a line, the class of the first (places stand before dates at the end of a text).
+_NEAR = "IF({i} = 5, 8L + (w[2] & 7L), 0L)"
+_TRIGRAM = f"(xxhash64(w[{{i}} - 2], w[{{i}} - 1], w[{{i}}], {_NEAR}) & -8192L) | shiftleft(w[{{i}} - 2] & 7L, 10) | shiftleft(w[{{i}} - 1] & 7L, 7) | shiftleft(w[{{i}}] & 7L, 4) | {_NEAR}"
+
+# A projection is computed anew for each use of its columns; what a generator gives is computed once. That is why texts, lines
+# and words come out of an explode of one element.
+_TEXTS = r"""texts AS (
+  SELECT id, source, trim(TRAILING '{blank}' FROM kept) AS t, kept <> whole AS marked
+  FROM (SELECT `{id}` AS id, `{source}` AS source, `{text}` AS text FROM {docs} WHERE `{id}` IS NOT NULL AND `{text}` IS NOT NULL)
+    LATERAL VIEW explode(array(trim(TRAILING '{blank}' FROM replace(text, '&nbsp;', ' ')))) AS whole
+    LATERAL VIEW explode(array(IF(right(whole, 3) = '...' OR right(whole, 1) IN (']', ')', '…', '\u{FFFD}'), regexp_replace(whole, r"{mark}", ''), whole))) AS kept
+  WHERE whole <> '')""".replace("\\u{FFFD}", "�")
+
+#: One row a text: its final trigram, null if nothing but a mark is there.
+_FINALS = """WITH {texts}
+SELECT id, source, marked, IF(t <> '', {trigram at size(w) - 1}, NULL) AS tri
+FROM texts LATERAL VIEW explode(array(trim(BOTH '{blank}' FROM substring_index(t, '\\n', -1)))) AS line LATERAL VIEW explode(array({words})) AS w"""
+
+#: Occurrences inside lines and at ends of lines: of the final trigrams, and summed over each shape.
+_COUNTS = """WITH {texts}, lines AS (
+  SELECT trim(BOTH '{blank}' FROM x.line) AS line, IF(x.no = 0 AND marked, NULL, xxhash64(x.line, x.before)) AS place
+  FROM texts LATERAL VIEW explode(array(reverse(split(t, '\\n')))) AS ls
+    LATERAL VIEW explode(zip_with(transform(ls, (l, k) -> struct(l, k)), slice(ls, 2, size(ls)), (a, b) -> struct(a.l AS line, a.k AS no, b AS before))) AS x
+), occurrences AS (
+  SELECT o.tri, o.place, o.inside FROM lines LATERAL VIEW explode(array({words})) AS w
+    LATERAL VIEW explode(transform(sequence(2, size(w) - 1), i -> struct({trigram at i} AS tri, IF(i = size(w) - 1, place, NULL) AS place, i < size(w) - 1 AS inside))) AS o
+  WHERE line <> ''
+), counted AS (
+  SELECT tri, sum(IF(place IS NULL, n, 0L)) AS inside, count(place) AS ends
+  FROM (SELECT tri, place, count(*) AS n FROM occurrences WHERE inside OR place IS NOT NULL GROUP BY tri, place) GROUP BY tri
+)
+SELECT false AS shape, c.tri AS key, c.inside, c.ends, 0L AS every, 0L AS every_end FROM counted c LEFT SEMI JOIN {finals} f ON c.tri = f.tri
+UNION ALL
+SELECT true, tri & 8191L, sum(IF(inside >= ends, inside, 0L)), sum(IF(inside >= ends, ends, 0L)), sum(inside + ends), sum(ends) FROM counted GROUP BY tri & 8191L"""
+
+# Shapes are at most 8192 rows, final trigrams of more than a thousandth of all texts at most a thousand.
+_JUDGED = """WITH size AS (SELECT count(*) AS texts FROM {finals}),
+every AS (SELECT coalesce(sum(every_end) / sum(every), 0D) AS mean, greatest({least_prior}, {prior} * any_value(texts)) AS prior FROM {counts} CROSS JOIN size WHERE shape),
+hot AS (SELECT tri FROM {finals} GROUP BY tri HAVING count(*) > greatest(1, {hot} * (SELECT texts FROM size))),
+stats AS (SELECT key, inside, ends FROM {counts} WHERE NOT shape),
+hot_stats AS (SELECT hot.tri AS key, s.inside, s.ends FROM hot LEFT JOIN stats s ON s.key = hot.tri),
+known AS (
+  SELECT /*+ BROADCAST(s) */ f.*, s.inside, s.ends FROM {finals} f JOIN hot_stats s ON f.tri = s.key
+  UNION ALL
+  SELECT f.*, s.inside, s.ends FROM (SELECT /*+ BROADCAST(hot) */ f.* FROM {finals} f LEFT ANTI JOIN hot ON f.tri = hot.tri WHERE f.tri IS NOT NULL) f LEFT JOIN stats s ON f.tri = s.key
+  UNION ALL
+  SELECT f.*, 0L, 0L FROM {finals} f WHERE f.tri IS NULL
+), rated AS (
+  SELECT /*+ BROADCAST(h), BROADCAST(e) */ k.id, k.source, k.marked, coalesce(k.inside, 0L) AS inside, greatest(0L, coalesce(k.ends, 0L) - IF(k.marked, 0, 1)) AS ends, k.tri, e.mean, e.prior,
+    (coalesce(h.ends, 0L) + e.prior * e.mean) / (coalesce(h.inside + h.ends, 0L) + e.prior) AS usual
+  FROM known k CROSS JOIN every e LEFT JOIN (SELECT * FROM {counts} WHERE shape) h ON (k.tri & 8191L) = h.key
 ), judged AS (
-  SELECT e.id, e.source, c.inside, c.at_end,
-    CASE
-      WHEN e.marked THEN 'mark'
-      WHEN e.short_word AND c.inside >= greatest({least}, {often} * (SELECT count(`{text}`) FROM {docs})) AND c.at_end - 1 <= {never} * c.inside THEN 'abbreviation'
-      WHEN e.stopped OR e.dated THEN 'whole'
-      WHEN e.own_line AND c.contexts >= greatest(3, {rare} * (SELECT count(`{text}`) FROM {docs})) AND c.at_end >= c.inside THEN 'whole'
-      WHEN c.inside > 0 THEN 'sentence'
-      ELSE 'word'
-    END AS verdict
-  FROM ends e LEFT JOIN closing c ON e.tri = c.tri
+  SELECT id, source, inside, ends, CASE
+      WHEN tri IS NOT NULL AND (ends + prior * usual) / (inside + ends + prior) < {seldom} * mean THEN IF(inside > 0, 'sentence', 'word')
+      WHEN marked THEN 'mark' ELSE 'whole' END AS verdict
+  FROM rated
 )
 """
 
 
-def _sql(docs: DataFrame, id_col: str, text_col: str, source_col: str, often: int, never: float, rare: float, line: int, query: str) -> DataFrame:
-    view = f"docs_{uuid.uuid4().hex}"
-    docs.createOrReplaceTempView(view)
-    sql = _SQL
-    for k in ("t", "right(t, {tail})"):
-        sql = sql.replace("{words(" + k + ")}", _WORDS.replace("{text}", k))
-    for k, v in {"blank": BLANK, "tail": TAIL, "mark_tail": MARK_TAIL, "id": id_col, "text": text_col, "source": source_col, "mark": MARK, "docs": view, "often": often, "least": LEAST_OFTEN, "never": never, "rare": rare, "line": line}.items():
-        sql = sql.replace("{" + k + "}", str(v))
-    return docs.sparkSession.sql(sql + query)
+def _judge(docs: DataFrame, id_col: str, text_col: str, source_col: str, query: str) -> DataFrame:
+    spark, tag = docs.sparkSession, uuid.uuid4().hex
+    names = {k: f"{k}_{tag}" for k in ("docs", "finals", "counts")}
+    names |= {"id": id_col, "text": text_col, "source": source_col, "blank": BLANK, "mark": MARK, "hot": f"{1 / HOT_SHARE}D", "prior": f"{PRIOR}D", "least_prior": f"{LEAST_PRIOR}D", "seldom": f"{SELDOM}D"}
+
+    def filled(sql: str) -> str:
+        sql = sql.replace("{texts}", _TEXTS).replace("{words}", _WORDS)
+        for i in ("i", "size(w) - 1"):
+            sql = sql.replace("{trigram at " + i + "}", _TRIGRAM.replace("{i}", f"({i})"))
+        for k, v in names.items():
+            sql = sql.replace("{" + k + "}", str(v))
+        return sql
+
+    docs.createOrReplaceTempView(names["docs"])
+    materialise(spark.sql(filled(_FINALS)), "finals").createOrReplaceTempView(names["finals"])
+    materialise(spark.sql(filled(_COUNTS)), "trigrams").createOrReplaceTempView(names["counts"])
+    return spark.sql(filled(_JUDGED + query))
+
 
+def truncated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, inside, ends, verdict): the texts that were cut off, and how that shows.
 
-def truncated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", often: float = 0.02, never: float = 0.001, rare: float = 0.0005, line: int = 60) -> DataFrame:
-    """(id, source, inside, at_end, verdict): the texts that were cut off, and how that shows.
+    Words are runs without white space, so they carry their punctuation; numbers count as 0, and addresses without their host.
+    All trigrams of all lines are counted, those inside lines and, apart from them, those at ends of lines (the beginning of
+    a line fills up its first two); copies, that is lines that repeat together with the line before, end once. A text was
+    cut if its final trigram is frequent inside but almost never terminal: if of its occurrences a smaller part than SELDOM
+    of the mean over all trigrams is at other ends. Rare trigrams say little by themselves, so each is joined by as many
+    occurrences as PRIOR of the number of texts, with the share of ends usual for its shape (the classes of its words:
+    with a full stop, a comma, a number, a capital, other), closing lines left aside. Every bound is thus relative to the corpus.
 
-    Words are runs without white space, lower-cased, numbers as 0, hosts of addresses left out; a line break counts as two
-    words, so that trigrams know where a line begins. All trigrams inside texts are counted, combined before the shuffle,
-    and joined to the final ones. What does not end with a full stop, question or exclamation mark (and closing marks
-    after it) was cut, unless its last line is whole: place and date, or a short line of its own whose final trigram ends
-    texts in many contexts (at least 3, and `rare` of all texts) and at least as often as it stands inside (signatures,
-    protocol numbers). Verdicts:
-    'sentence' - the final trigram is known from inside of texts, and there goes on; 'word' - it stands nowhere else, so the
-    last word is a part; 'mark' - a mark of the cut follows, such as an ellipsis; 'abbreviation' - it ends with a full stop,
-    but after at most four letters, and in a trigram found inside as often as `often` of the number of
-    texts (and LEAST_OFTEN times) and, but for `never` of those, at no end ("pursuant to art.").
+    `inside` and `ends` are the counts of the final trigram, `ends` without the text itself. Verdicts: 'sentence' - cut, and the
+    trigram is known from inside; 'word' - cut, and it stands nowhere inside, so the last word is mostly a part; 'mark' - not so
+    judged, but a mark of a cut follows, such as an ellipsis (all others are judged by what stands before the mark).
 
-    Null and empty texts, and rows with a null id, give no row. Texts of under three words have no trigram and are judged
-    by their ending. A row repeated is a result repeated. An empty table gives an empty result."""
-    return _sql(docs, id_col, text_col, source_col, often, never, rare, line, f"SELECT id AS `{id_col}`, source AS `{source_col}`, coalesce(inside, 0) AS inside, coalesce(at_end, 0) AS at_end, verdict FROM judged WHERE verdict <> 'whole'")
+    Null, empty and blank texts, and rows with a null id, give no row. Texts of one or two words are judged likewise. A row
+    repeated is a result repeated. An empty table gives an empty result."""
+    return _judge(docs, id_col, text_col, source_col, f"SELECT id AS `{id_col}`, source AS `{source_col}`, inside, ends, verdict FROM judged WHERE verdict <> 'whole'")
 
 
-def truncation_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", often: float = 0.02, never: float = 0.001, rare: float = 0.0005, line: int = 60) -> DataFrame:
+def truncation_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(source, texts, cut, share, words, sentences, marks): how often each source cuts off its texts; see truncated().
 
     Sources are the same without regard to letter case and blanks around them; records without source are one row (null)."""
     query = f"""SELECT nullif(lower(trim(source)), '') AS `{source_col}`, count(*) AS texts, count_if(verdict <> 'whole') AS cut, count_if(verdict <> 'whole') / count(*) AS share,
-      count_if(verdict = 'word') AS words, count_if(verdict IN ('sentence', 'abbreviation')) AS sentences, count_if(verdict = 'mark') AS marks FROM judged GROUP BY 1"""
-    return _sql(docs, id_col, text_col, source_col, often, never, rare, line, query)
+      count_if(verdict = 'word') AS words, count_if(verdict = 'sentence') AS sentences, count_if(verdict = 'mark') AS marks FROM judged GROUP BY 1"""
+    return _judge(docs, id_col, text_col, source_col, query)

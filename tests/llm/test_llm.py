@@ -436,29 +436,38 @@ def test_held_out_records_are_classified():
 
 def test_truncation(spark):
     rnd = random.Random(1)
-    words = ["garante", "titolare", "dati", "sanzione", "ricorso", "consenso", "notifica", "ufficio"]
+    words = ["".join(rnd.choices("abcdeilmnorst", k=rnd.randrange(4, 9))) for _ in range(40)]
     sentence = lambda: "Il " + " ".join(rnd.choices(words, k=6)) + "."
-    close = ["", "\nUfficio stampa", "\nRoma, 12 maggio 2020", "\nIl Direttore generale", '\n«Fine.»']
+    close = ["", "", "\nUfficio stampa", "\nRoma, 12 maggio 2020", "\nIl Direttore generale", "\n«Fine.»"]
     rows, cut = [], set()
-    for i in range(400):
-        t = " ".join(sentence() for _ in range(6)) + rnd.choice(close)
+    for i in range(600):
+        t = "\n".join(" ".join(sentence() for _ in range(2)) for _ in range(5))
         if i % 10 == 0:
-            t = " ".join(sentence() for _ in range(5)) + " Il garante " + rnd.choice(["titol", "dati sanzione ricorso", "dati…", "consenso [...]", "no..."])
+            t = t[: -rnd.randrange(3, 28)].rstrip(" .") + rnd.choice(["", "", "…", " [...]"])
             cut.add(i)
-        rows.append((i, t + rnd.choice(["", "\n", "  "]), rnd.choice(["S", "s "])))
-    rows += [(1000, None, "s"), (1001, "", "s"), (1002, " ", None), (None, "Il ga", "s"), (1003, "ciao", "s"), (1004, "Lungo testo. " * 50_000, None), (1005, "Si.", "s")]
+        else:
+            t += rnd.choice(close)
+        rows.append((i, t + rnd.choice(["", "\n", "  "]), rnd.choice(["S", "s "])))
+    rows += [(1000, None, "s"), (1001, "", "s"), (1002, " ", None), (None, "Il ga", "s"), (1004, sentence() + ("\n" + sentence()) * 30_000, None), (1005, "…", "s")]
     df = clash(spark.createDataFrame(rows, "doc_id long, txt string, source string"))
-    got = [r.doc_id for r in truncation.truncated(df, text_col="txt").collect()]
-    assert len(got) == len(set(got)) and set(got) == cut | {1003}
+    found = truncation.truncated(df, text_col="txt").collect()
+    got = [r.doc_id for r in found]
+    assert len(got) == len(set(got)) and set(got) == cut | {1005}
+    assert [r.doc_id for r in found if r.verdict == "mark"] == [1005]  # all others are decided by their final trigram
     by = {r.source: r for r in truncation.truncation_by_source(df, text_col="txt").collect()}
     assert by["s"].cut == len(cut) + 1 and by[None].texts == 1 and by[None].cut == 0
     assert truncation.truncated(df.limit(0), text_col="txt").count() == 0
 
 
-
-
 def test_abbreviations_are_judged_alike_in_any_corpus_size(spark):
     for n in (300, 3000):
-        rows = [(i, f"Il testo numero {chr(97 + i % 26)} cita quanto detto ai sensi dell' art. quattro del codice vigente.", "s") for i in range(n)] + [(9999, "Si decide ai sensi dell' art.", "s")]
+        rows = [(i, f"Il testo numero {i}{chr(97 + i % 26)} cita quanto detto ai sensi dell' art. quattro del codice vigente.", "s") for i in range(n)] + [(9999, "Si decide ai sensi dell' art.", "s")]
         got = truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-        assert [(r.doc_id, r.verdict) for r in got] == [(9999, "abbreviation")], n
+        assert [(r.doc_id, r.verdict) for r in got] == [(9999, "sentence")], n
+
+
+def test_copies_of_a_cut_text_do_not_make_its_end_usual(spark):
+    rows = [(i, f"Il garante {chr(97 + i % 26)}{i} ha disposto la cancellazione dei dati.\nUfficio stampa", "s") for i in range(200)]
+    rows += [(1000 + i, "Il garante numero uno ha disposto la cancellaz", "t") for i in range(60)]  # one cut text, taken over many times
+    got = truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got} == {1000 + i for i in range(60)}
