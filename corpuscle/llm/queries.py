@@ -146,25 +146,25 @@ i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w
 dg AS (SELECT doc_id, unnest([hash(array_to_string(w[k:k + 11], ' ')) for k in range(1, len(w) - 10)]) AS g FROM d WHERE len(w) >= 12),
 ig AS (SELECT item_id, unnest([hash(array_to_string(w[k:k + 11], ' ')) for k in range(1, len(w) - 10)]) AS g FROM i WHERE len(w) >= 12)"""
 
-# white space and the last character of a word but for closing quotes and brackets, as in truncation.py
+# white space as in truncation.py
 _BLANK = "chr(32) || chr(10) || chr(13) || chr(9) || chr(11) || chr(12) || chr(160) || chr(8232) || chr(8233)"
-_LAST = "right(rtrim(x, '»”’''\")]'), 1)"
 
 _ENDS = rf"""
 t0 AS (SELECT doc_id, source, rtrim(replace(text, '&nbsp;', ' '), {_BLANK}) AS whole FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-t1 AS (SELECT *, CASE WHEN right(whole, 3) = '...' OR right(whole, 1) IN (']', ')', '…', '\uFFFD') THEN regexp_replace(whole, '{truncation.MARK.replace("*+", "*")}', '') ELSE whole END AS kept FROM t0 WHERE whole <> ''),
+t1 AS (SELECT *, CASE WHEN right(whole, 3) = '...' OR right(whole, 1) IN (']', ')', '…', '\uFFFD') OR regexp_matches(right(whole, 10), '[&<]') THEN regexp_replace(whole, '{truncation.MARK.replace("*+", "*")}', '') ELSE whole END AS kept FROM t0 WHERE whole <> ''),
 texts AS (SELECT doc_id, source, rtrim(kept, {_BLANK}) AS t, kept <> whole AS marked FROM t1),
 split AS (SELECT doc_id, marked, string_split(t, chr(10)) AS l FROM texts),
 lines AS (SELECT doc_id, marked, k = len(l) AS is_last, trim(l[k], {_BLANK}) AS line, CASE WHEN k = len(l) AND marked THEN NULL ELSE (l[k], coalesce(l[k - 1], '')) END AS place FROM split, unnest(range(1, len(l) + 1)) AS u(k)),
 words AS (SELECT doc_id, is_last, place, list_concat(['', ''], regexp_split_to_array(regexp_replace(regexp_replace(line, '(?:https?://|www\.)[^\s/]+/', 'www/', 'g'), '[0-9]+', '0', 'g'), '[ \t\r\x0B\f\x{{A0}}\x{{2028}}\x{{2029}}]+')) AS w FROM lines WHERE line <> ''),
-classes AS (SELECT *, list_transform(w, lambda x: CASE WHEN x = '' THEN 0 WHEN {_LAST} IN ('.', '!', '?') THEN 1 WHEN {_LAST} = ',' THEN 2 WHEN {_LAST} IN (';', ':') THEN 3 WHEN left(x, 1) = '0' AND {_LAST} = '0' THEN 4 WHEN left(x, 1) <> lower(left(x, 1)) THEN 5 ELSE 6 END) AS c FROM words),
-occ AS (SELECT doc_id, is_last AND k = len(w) AS final, CASE WHEN k = len(w) THEN place END AS place, k < len(w) AS inside, CASE WHEN k = 6 THEN c[3] ELSE -1 END AS near, array_to_string(w[k - 2:k], ' ') || ' ' || near AS tri, array_to_string(c[k - 2:k], '') || ' ' || near AS shape FROM classes, unnest(range(3, len(w) + 1)) AS u(k)),
-counted AS (SELECT tri, shape, count(*) FILTER (inside) AS inside, count(DISTINCT place) AS ends FROM occ WHERE inside OR place IS NOT NULL GROUP BY ALL),
+classes AS (SELECT *, list_transform(w, lambda x: CASE WHEN x = '' THEN 0 ELSE (instr('{truncation.ENDINGS.replace("'", "''")}', right(x, 1)) >> 2) + CASE WHEN starts_with(x, '0') THEN 8 WHEN x < 'a' THEN 16 ELSE 0 END END) AS c FROM words),
+occ AS (SELECT doc_id, is_last AND k = len(w) AS final, CASE WHEN k = len(w) THEN place END AS place, k < len(w) AS inside, CASE WHEN k = 6 THEN 8 + c[3] % 8 ELSE 0 END AS near, array_to_string(w[k - 2:k], ' ') || ' ' || near AS tri, array_to_string(c[k - 2:k], ' ') || ' ' || near AS shape, c[k] AS class FROM classes, unnest(range(3, len(w) + 1)) AS u(k)),
+counted AS (SELECT tri, shape, class, count(*) FILTER (inside) AS inside, count(DISTINCT place) AS ends FROM occ WHERE inside OR place IS NOT NULL GROUP BY ALL),
 every AS (SELECT sum(ends) / sum(inside + ends) AS mean, greatest({truncation.LEAST_PRIOR}, {truncation.PRIOR} * (SELECT count(*) FROM texts))::DOUBLE AS prior FROM counted),
-shapes AS (SELECT shape, sum(inside) AS i, sum(ends) AS e FROM counted WHERE inside >= ends GROUP BY shape),
-finals AS (SELECT doc_id, tri, shape FROM occ WHERE final),
-rated AS (SELECT x.doc_id, x.source, x.marked, f.tri, coalesce(n.inside, 0) AS inside, greatest(0, coalesce(n.ends, 0) - CASE WHEN x.marked THEN 0 ELSE 1 END) AS ends, mean, prior, (coalesce(h.e, 0) + prior * mean) / (coalesce(h.i + h.e, 0) + prior) AS usual
-  FROM texts x CROSS JOIN every LEFT JOIN finals f ON f.doc_id = x.doc_id LEFT JOIN counted n ON n.tri = f.tri LEFT JOIN shapes h ON h.shape = f.shape),
+shapes AS (SELECT shape, class, sum(inside) AS i, sum(ends) AS e FROM counted WHERE inside > 0 OR ends = 1 GROUP BY ALL),
+kinds AS (SELECT class, sum(i) AS i, sum(e) AS e FROM shapes GROUP BY class),
+finals AS (SELECT doc_id, tri, shape, class FROM occ WHERE final),
+rated AS (SELECT x.doc_id, x.source, x.marked, f.tri, coalesce(n.inside, 0) AS inside, greatest(0, coalesce(n.ends, 0) - CASE WHEN x.marked THEN 0 ELSE 1 END) AS ends, mean, prior, (coalesce(h.e, 0) + prior * (coalesce(g.e, 0) + prior * mean) / (coalesce(g.i + g.e, 0) + prior)) / (coalesce(h.i + h.e, 0) + prior) AS usual
+  FROM texts x CROSS JOIN every LEFT JOIN finals f ON f.doc_id = x.doc_id LEFT JOIN counted n ON n.tri = f.tri LEFT JOIN shapes h ON h.shape = f.shape LEFT JOIN kinds g ON g.class = f.class),
 judged AS (SELECT doc_id, source, CASE WHEN tri IS NOT NULL AND (ends + prior * usual) / (inside + ends + prior) < {truncation.SELDOM} * mean THEN CASE WHEN inside > 0 THEN 'sentence' ELSE 'word' END WHEN marked THEN 'mark' ELSE 'whole' END AS verdict FROM rated)"""
 
 SQL = {
