@@ -156,7 +156,7 @@ texts AS (SELECT doc_id, source, rtrim(kept, {_BLANK}) AS t, kept <> whole AS ma
 split AS (SELECT doc_id, marked, string_split(t, chr(10)) AS l FROM texts),
 lines AS (SELECT doc_id, marked, k = len(l) AS is_last, trim(l[k], {_BLANK}) AS line, CASE WHEN k = len(l) AND marked THEN NULL ELSE (l[k], coalesce(l[k - 1], '')) END AS place FROM split, unnest(range(1, len(l) + 1)) AS u(k)),
 words AS (SELECT doc_id, is_last, place, list_concat(['', ''], regexp_split_to_array(regexp_replace(regexp_replace(line, '(?:https?://|www\.)[^\s/]+/', 'www/', 'g'), '[0-9]+', '0', 'g'), '[ \t\r\x0B\f\x{{A0}}\x{{2028}}\x{{2029}}]+')) AS w FROM lines WHERE line <> ''),
-classes AS (SELECT *, list_transform(w, lambda x: CASE WHEN x = '' THEN 0 ELSE (instr('{truncation.ENDINGS.replace("'", "''")}', right(x, 1)) >> 2) + CASE WHEN starts_with(x, '0') THEN 8 WHEN x < 'a' THEN 16 ELSE 0 END END) AS c FROM words),
+classes AS (SELECT *, list_transform(w, lambda x: (instr('{truncation.ENDINGS.replace("'", "''")}', right(x, 1)) >> 2) + CASE WHEN starts_with(x, '0') THEN 8 WHEN x < 'a' THEN 16 ELSE 0 END) AS c FROM words),
 occ AS (SELECT doc_id, is_last AND k = len(w) AS final, CASE WHEN k = len(w) THEN place END AS place, k < len(w) AS inside, CASE WHEN k = 6 THEN 8 + c[3] % 8 ELSE 0 END AS near, array_to_string(w[k - 2:k], ' ') || ' ' || near AS tri, array_to_string(c[k - 2:k], ' ') || ' ' || near AS shape, c[k] AS class FROM classes, unnest(range(3, len(w) + 1)) AS u(k)),
 counted AS (SELECT tri, shape, class, count(*) FILTER (inside) AS inside, count(DISTINCT place) AS ends FROM occ WHERE inside OR place IS NOT NULL GROUP BY ALL),
 every AS (SELECT sum(ends) / sum(inside + ends) AS mean, greatest({truncation.LEAST_PRIOR}, {truncation.PRIOR} * (SELECT count(*) FROM texts))::DOUBLE AS prior FROM counted),

@@ -22,27 +22,29 @@ MARK = r"(?:\s*+(?:\.\.\.+|…|\[\s*+(?:\.\.\.|…)\s*+\]|\(\s*+(?:\.\.\.|…)\s
 # The class of a word, 0 to 31: by its last character, of which four in a row here are alike (the first three are none), and
 # by whether it begins with a digit, or else with a capital or a sign.
 ENDINGS = "   .!?.,,,,;:;:0000)]))»”\"»’'’'"
-CLASS = "shiftright(instr('{endings}', right(x, 1)), 2) | IF(startswith(x, '0'), 8, IF(x < 'a', 16, 0))"
+_CLASS = "(shiftright(instr('{endings}', right({x}, 1)), 2) | IF(startswith({x}, '0'), 8, IF({x} < 'a', 16, 0)))"
 
-# Words of a line as hashes whose last five bits are the class, after two zeros for the beginning of the line. Numbers
-# become 0 and addresses lose their host; only lines with an address pay for that pattern.
-_WORDS = r"""concat(array(0L, 0L), transform(split(regexp_replace(
+# Words of a line, after two empty ones for its beginning. Numbers become 0 and addresses lose their host; only lines with an
+# address pay for that pattern.
+_WORDS = r"""concat(array('', ''), split(regexp_replace(
     CASE WHEN contains(line, 'www.') OR contains(line, '://') THEN regexp_replace(line, r"(?:https?://|www\.)[^\s/]+/", 'www/') ELSE line END,
-    '[0-9]+', '0'), r"[ \t\r\x0B\f\x{A0}\x{2028}\x{2029}]+"), x -> (xxhash64(x) & -32L) | {class}))""".replace("{class}", CLASS)
+    '[0-9]+', '0'), r"[ \t\r\x0B\f\x{A0}\x{2028}\x{2029}]+"))"""
 
 # The trigram at word i of w as a hash whose last 19 bits are its shape: the classes of its words, and, where it is made of
 # the second to fourth word of a line, the ending of the first (places stand before dates at the end of a text).
-_NEAR = "IF({i} = 5, 8L + (w[2] & 7L), 0L)"
-_TRIGRAM = f"(xxhash64(w[{{i}} - 2], w[{{i}} - 1], w[{{i}}], {_NEAR}) & -524288L) | shiftleft(w[{{i}} - 2] & 31L, 14) | shiftleft(w[{{i}} - 1] & 31L, 9) | shiftleft({_NEAR}, 5) | (w[{{i}}] & 31L)"
+_NEAR = f"IF({{i}} = 5, 8 + ({_CLASS.replace('{x}', 'w[2]')} & 7), 0)"
+_TRIGRAM = f"(xxhash64(w[{{i}} - 2], w[{{i}} - 1], w[{{i}}], {_NEAR}) & -524288L) | CAST(shiftleft({_CLASS.replace('{x}', 'w[{i} - 2]')}, 14) | shiftleft({_CLASS.replace('{x}', 'w[{i} - 1]')}, 9) | shiftleft({_NEAR}, 5) | {_CLASS.replace('{x}', 'w[{i}]')} AS BIGINT)"
 
 # A projection is computed anew for each use of its columns; what a generator gives is computed once. That is why texts, lines
 # and words come out of an explode of one element. Trimming a set of characters is slow, so only what ends in one is trimmed.
 _TEXTS = r"""texts AS (
-  SELECT id, source, marked, IF(right(kept, 1) IN ({blanks}), trim(TRAILING '{blank}' FROM kept), kept) AS t
+  SELECT id, source, marked, IF(marked AND right(kept, 1) IN ({blanks}), trim(TRAILING '{blank}' FROM kept), kept) AS t
   FROM (
-    SELECT id, source, kept, kept <> whole AS marked FROM (SELECT `{id}` AS id, `{source}` AS source, replace(`{text}`, '&nbsp;', ' ') AS text FROM {docs} WHERE `{id}` IS NOT NULL AND `{text}` IS NOT NULL)
-      LATERAL VIEW explode(array(IF(right(text, 1) IN ({blanks}), trim(TRAILING '{blank}' FROM text), text))) AS whole
-      LATERAL VIEW explode(array(IF(right(whole, 3) = '...' OR right(whole, 1) IN (']', ')', '…', '�') OR right(whole, 10) RLIKE '[&<]', regexp_replace(whole, r"{mark}", ''), whole))) AS kept
+    SELECT id, source, kept, length(kept) < length(whole) AS marked FROM (SELECT `{id}` AS id, `{source}` AS source, replace(`{text}`, '&nbsp;', ' ') AS text FROM {docs} WHERE `{id}` IS NOT NULL AND `{text}` IS NOT NULL)
+      LATERAL VIEW explode(array(right(text, 10))) AS first_tip
+      LATERAL VIEW explode(array(IF(right(first_tip, 1) IN ({blanks}), trim(TRAILING '{blank}' FROM text), text))) AS whole
+      LATERAL VIEW explode(array(IF(right(first_tip, 1) IN ({blanks}), right(whole, 10), first_tip))) AS tip
+      LATERAL VIEW explode(array(IF(right(tip, 3) = '...' OR right(tip, 1) IN (']', ')', '…', '�') OR contains(tip, '&') OR contains(tip, '<'), regexp_replace(whole, r"{mark}", ''), whole))) AS kept
     WHERE whole <> ''))"""
 _LINE = "explode(array(IF(left({line}, 1) IN ({blanks}) OR right({line}, 1) IN ({blanks}), trim(BOTH '{blank}' FROM {line}), {line}))) AS line"
 
@@ -60,7 +62,7 @@ _COUNTED = """WITH {texts}, lines AS (
 ), worded AS (
   SELECT w, size(w) AS n, place FROM lines LATERAL VIEW explode(array({words})) AS w WHERE line <> ''
 ), occurrences AS (
-  SELECT tri, IF(k = n - 3, place, 0L) AS place FROM worded LATERAL VIEW posexplode(transform(sequence(2, n - 1), i -> {trigram at i})) AS k, tri
+  SELECT {trigram at i} AS tri, IF(i = n - 1, place, 0L) AS place FROM worded LATERAL VIEW explode(sequence(2, n - 1)) AS i
 )
 SELECT tri, sum(IF(place = 0, n, 0L)) AS inside, count_if(place <> 0) AS ends
 FROM (SELECT tri, place, count(*) AS n FROM occurrences WHERE place IS NOT NULL GROUP BY tri, place) GROUP BY tri"""
