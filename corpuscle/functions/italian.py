@@ -67,6 +67,7 @@ OPENS_PARAGRAPH = re.compile(
 )
 SENTENCE_END = re.compile(r"[.;:!?][\"»”]?$")
 CONTINUES = re.compile(r"^[,.;:)\]»”]")
+CAPITAL = "A-ZÀÈÉÌÒÙ«“\""
 SENTENCE_BREAK = re.compile(r"[.;!?][\"»”)]*\s+(?=[A-ZÀÈÉÌÒÙ«“\"])")
 CLAUSE_BREAK = re.compile(r"(?<=[.;!?])\s+(?=[A-ZÀÈÉÌÒÙ«“\"(\[0-9])")
 NUMBERED = re.compile(r"^(\d{1,2}(?:\.\d{1,2})*)\.?\s+(?=[A-ZÀ-Ú«“\"'’])")

@@ -219,31 +219,25 @@ def repeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(C.paragraph_key(F.col("p")).alias("key")).agg(F.count_distinct("docweb_id").alias("docs")).where("docs >= 5")
 
 
-def _representatives(spark: SparkSession, d: str) -> DataFrame:
-    kept = materialise(documents.select_documents(table(spark, d, "docs")).where("verdict = 'keep'"), "kept")
-    fam = documents.families(kept)
-    return materialise(kept.join(fam.where("docweb_id = representative").select("docweb_id"), "docweb_id", "left_semi"), "reps")
-
-
 @query()
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return documents.paragraphs(table(spark, d, "docs"))
+    return documents.paragraphs(documents.outlines(table(spark, d, "docs")))
 
 
 @query()
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    return documents.sentences(table(spark, d, "docs"))
+    return documents.sentences(documents.outlines(table(spark, d, "docs")))
 
 
 @query()
 def boilerplate_keys(spark: SparkSession, d: str) -> DataFrame:
-    return documents.boilerplate_keys(_representatives(spark, d))
+    return documents.Mined(table(spark, d, "docs")).keys
 
 
 @query()
 def procedural_phrases(spark: SparkSession, d: str) -> DataFrame:
-    reps = _representatives(spark, d)
-    return documents.procedural_phrases(reps, documents.wording(documents.boilerplate_keys(reps), "key"))
+    m = documents.Mined(table(spark, d, "docs"))
+    return documents.phrase_texts(documents.sentence_phrases(m.reps, m.boiler), m.procedural)
 
 
 @query()
@@ -259,9 +253,7 @@ def index_figures(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dropped_words(spark: SparkSession, d: str) -> DataFrame:
-    reps = _representatives(spark, d)
-    keys = documents.wording(documents.boilerplate_keys(reps), "key")
-    return documents.dropped_words(reps, keys, documents.wording(documents.procedural_phrases(reps, keys), "phrase"))
+    return documents.dropped_words(documents.Mined(table(spark, d, "docs")).formulas)
 
 
 # ------------------------------------------------------------------------------------------- fields and figures

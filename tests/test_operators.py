@@ -121,11 +121,32 @@ def test_mining(spark):
     p = "VISTO il regolamento europeo in materia di protezione dei dati personali del cittadino"
     rows = [(i, None, f"{p} {i}.\nIl caso {chr(97 + i)} riguarda una persona; la sanzione va annotata nel registro interno previsto dalla norma.", str(i), [f"T{i % 3}"]) for i in range(6)]
     d = docs(spark, rows)
-    keys = {r.key: r.docs for r in documents.boilerplate_keys(d, 5).collect()}
-    assert keys == {p.lower() + " 0.": 6}
-    ph = {r.phrase: r for r in documents.procedural_phrases(d, [p.lower() + " 0."], 5, 3, 0.5).collect()}
-    assert "annotata nel registro interno previsto" in ph and ph["annotata nel registro interno previsto"].top_tag == 2
-    assert documents.procedural_phrases(docs(spark, [(1, None, LONG, "a", [])]), [], 1, 1).count() == 0
+    cut = documents.outlines(d)
+    found = documents.boilerplate_keys(cut, 5)
+    assert {r.key: r.docs for r in found.collect()} == {p.lower() + " 0.": 6}
+    boiler = documents.boilerplate(cut, found)
+    said = documents.sentence_phrases(cut, boiler)
+    ph = documents.procedural_phrases(documents.hashed(said), 5, 3, 0.5)
+    texts = {r.phrase: r for r in documents.phrase_texts(said, ph).collect()}
+    assert "annotata nel registro interno previsto" in texts and texts["annotata nel registro interno previsto"].top_tag == 2
+    formula = documents.formulas(documents.hashed(said), ph)
+    assert {(r.docweb_id, r.sentence_no) for r in formula.collect()} == {(i, 0) for i in range(6)}
+    made = documents.chunk(cut, boiler, said.where("docweb_id = 3 and sentence_no = 0").select("docweb_id", "para_no", "sentence_no"))
+    got = {r.docweb_id: r.text for r in made.collect()}
+    assert 3 not in got and all("VISTO" not in t and "annotata" in t for t in got.values()) and len(got) == 5
+    alone = documents.outlines(docs(spark, [(1, None, LONG, "a", [])]))
+    said = documents.hashed(documents.sentence_phrases(alone, documents.boilerplate(alone, documents.boilerplate_keys(alone))))
+    assert documents.procedural_phrases(said, 1, 1).count() == 0
+
+
+def test_formulas_are_mostly_procedural_phrases(spark):
+    same = "la sanzione va annotata nel registro interno previsto dalla norma vigente"
+    rows = [(i, None, f"Il caso {chr(97 + i)} riguarda la persona numero{chr(97 + i)}. Inoltre {same}. Per la violazione degli artt. 5 e 13 {same}.", str(i), [f"T{i % 3}"]) for i in range(6)]
+    cut = documents.outlines(docs(spark, rows))
+    said = documents.hashed(documents.sentence_phrases(cut, documents.boilerplate(cut, documents.boilerplate_keys(cut, 99))))
+    formula = documents.formulas(said, documents.procedural_phrases(said, 5, 3, 0.5))
+    assert sorted((r.docweb_id, r.sentence_no) for r in formula.collect()) == [(i, 1) for i in range(6)]  # violations are kept
+    assert documents.dropped_words(formula).first().words == 6 * 12
 
 
 def test_state(spark, tmp_path):

@@ -1,3 +1,5 @@
+import hashlib
+
 from corpuscle.functions import pages as P
 
 PAGE = """<html><head><title>Prova - Garante Privacy</title><meta name="robots" content="NoArchive"><meta property="og:title" content=" Provvedimento del 5 marzo [12345] ">
@@ -10,24 +12,43 @@ LISTING = """<body><div>1.234 risultati di ricerca</div><ul><li><strong><a href=
 <li><strong><a href="/docweb/-/docweb-display/docweb/2">Secondo</a></strong></li></ul><a href="/docweb/-/docweb-display/docweb/9">L'agenda</a></body>"""
 
 
-def test_document():
-    d = P.parse_document(12345, PAGE, "u")
-    assert d["title"] == "Provvedimento del 5 marzo [12345]" and d["date"] == "2020-03-05" and d["era"] == "gdpr"
+STATE = "docweb_id long, fetch_status int, list_date string, tipologia string, argomenti string"
+
+
+def parsed(spark, i, html, date=None, types=None):
+    from corpuscle.operators.parse import parse_documents
+
+    state = spark.createDataFrame([(i, 200, date, types, None)], STATE)
+    return parse_documents(spark.createDataFrame([(i, html)], "docweb_id long, html string"), state, "u/{id}", " - Sito").first()
+
+
+def test_document(spark):
+    d = parsed(spark, 12345, PAGE)
+    assert d["title"] == "Provvedimento del 5 marzo [12345]" and d["date"] == "2020-03-05" and d["era"] == "gdpr" and d["url"] == "u/12345"
     assert d["tipologia"] == ["Provvedimento"] and d["argomenti"] == ["Sanità"] and d["registro_n"] == 77
     assert d["fines_eur"] == [20000.5, 24000.0] and d["refs_in_text"] == [99999] and d["xx_placeholders"] == 1
     assert d["see_also"] == [111, 222] and d["cites"] == [333] and d["attachments"] == ["/documents/1/a.pdf?v=1"] and d["noarchive"]
     assert d["body_method"] == "docweb_marker" and d["body"].startswith("[doc. web n. 12345]") and "Scheda" not in d["body"] and "& altri" in d["body"]
+    assert d["body_chars"] == len(d["body"]) and d["body_sha256"] == hashlib.sha256(d["body"].encode()).hexdigest() and d["error"] is None
 
 
-def test_fallbacks():
-    assert P.parse_document(1, "<html></html>", "u")["body_method"] == "failed"
-    d = P.parse_document(1, "<title>T x</title><p>T x</p><p>Stampa</p><p>testo</p>", "u", "01/02/99", ["a"], None)
+def test_fallbacks(spark):
+    d = parsed(spark, 1, "<html></html>")
+    assert d["body_method"] == "failed" and d["body"] == "" and d["tipologia"] == [] and d["date"] is None
+    d = parsed(spark, 1, "<title>T x - Sito</title><p>T x</p><p>Stampa</p><p>testo</p>", "01/02/99", '["a"]')
     assert d["body"] == "testo" and d["body_method"] == "title_fallback" and d["date"] == "1999-02-01" and d["tipologia"] == ["a"] and d["argomenti"] == []
+    d = parsed(spark, 2, "<title>T</title><p>T</p><p>uno</p><p>T</p><p>due</p><p>Footer</p><p>T</p><p>tre</p>")
+    assert d["title"] == "T" and d["body"] == "due"
+
+
+def test_dates(spark):
+    from pyspark.sql import functions as F
 
+    from corpuscle.functions import columns as C
 
-def test_dates():
-    for s, want in {"03/12/99": "1999-12-03", "01/02/18": "2018-02-01", "31/02/2020": None, "1/2/2020": None, None: None, " 01/02/2018 ": "2018-02-01"}.items():
-        assert P.iso_date(s) == want
+    want = {"03/12/99": "1999-12-03", "01/02/18": "2018-02-01", "31/02/2020": None, "1/2/2020": None, None: None, " 01/02/2018 ": "2018-02-01"}
+    got = spark.createDataFrame([(s,) for s in want], "s string").select("s", C.iso_date(F.col("s")).alias("d")).collect()
+    assert {r.s: r.d for r in got} == want
 
 
 def test_listing():
