@@ -12,7 +12,7 @@ from corpuscle.functions import columns as C
 from corpuscle.functions import italian as it
 from corpuscle.functions import segment
 from corpuscle.operators.components import connected_components
-from corpuscle.session import materialise, small
+from corpuscle.session import materialise, pairs_within, small
 
 
 def newest() -> list[Column]:
@@ -197,8 +197,7 @@ def families(docs: DataFrame, threshold: float = it.DUP_JACCARD) -> DataFrame:
     bands = materialise(minhash_bands(classes).join(maps.select("id", "n"), "id"), "bands")
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1").select("band", "key")
     bands = bands.join(shared, ["band", "key"], "left_semi")
-    pairs = bands.select("band", "key", F.col("id").alias("a"), F.col("n").alias("na")).join(bands.select("band", "key", F.col("id").alias("b"), F.col("n").alias("nb")), ["band", "key"])
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6)).select("a", "b").distinct()
+    pairs = pairs_within(bands, ["band", "key"], extra=["n"]).where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6).select("a", "b").distinct()
     x, y = (maps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("m").alias(f"m{k}")) for k in "ab")
     differ = sum((F.bit_count(F.get("ma", F.lit(i)).bitwiseXOR(F.get("mb", F.lit(i)))) for i in range(PARITY)), F.lit(0))
     most = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)

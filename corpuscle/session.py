@@ -29,12 +29,19 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str =
     )
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder shared by all executors: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary
+    folder of its own; on a cluster that is an error."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
-        own = tempfile.mkdtemp(prefix="corpuscle-")
-        spark.conf.set("spark.checkpoint.dir", own)
+        app = spark.sparkContext
+        if not app.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = _own_dirs.setdefault(app.applicationId, "") or tempfile.mkdtemp(prefix="corpuscle-")
+        _own_dirs[app.applicationId] = own
     return own.rstrip("/")
 
 
@@ -71,3 +78,18 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], rows_of_key: s
     hot = F.col(rows_of_key) > max(1, total // HOT_SHARE)
     heavy, light = F.broadcast(right.where(hot)), right.where(~hot)
     return left.join(heavy, keys).unionByName(left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(light, keys))
+
+
+def pairs_within(rows: DataFrame, keys: list[str], id_col: str = "id", extra: list[str] = (), cell: int = 2000) -> DataFrame:
+    """(a, b, <extra>a, <extra>b), a < b: pairs of rows with equal keys, for keys that many rows may share.
+
+    A key of more than `cell` rows is cut into g groups by a hash of the id, and these are joined group by group, so that one
+    task holds at most two groups, whatever share of the rows a key has."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / cell).cast("int").alias("g")).where("g > 1")
+    total = rows.count()
+    hot = sizes if total <= cell else materialise(sizes, "hot")
+    # a hot key has more than `cell` rows; up to BROADCAST_ROWS of them are broadcast
+    cut = rows.join(small(hot), keys, "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(id_col), F.col("g")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    side = lambda k, mine, other: cut.select(*keys, F.col("own").alias(mine), every.alias(other), F.col(id_col).alias(k), *(F.col(c).alias(f"{c}{k}") for c in extra))
+    return side("a", "i", "j").join(side("b", "j", "i"), [*keys, "i", "j"]).where("a < b").select("a", "b", *(f"{c}{k}" for k in "ab" for c in extra))

@@ -255,3 +255,14 @@ def test_hot_keys_take_the_other_way(spark):
     right = left.groupBy("k").agg(F.count("*").alias("n"))
     got = skew_join(left, right, ["k"], "n", 3050)
     assert got.count() == 3050 and got.where("k = 'hot' and n = 3000").count() == 3000
+
+
+def test_pairs_of_a_hot_key(spark):
+    from corpuscle.session import pairs_within
+
+    rows = [(i, 1 if i < 60 else i % 7, i * 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, key int, n int")
+    want = {(a, b, na, nb) for a, k, na in rows for b, j, nb in rows if a < b and k == j}
+    for cell in (2000, 7):
+        got = [tuple(r) for r in pairs_within(df, ["key"], extra=["n"], cell=cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
