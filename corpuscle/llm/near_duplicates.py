@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.session import materialise
+from corpuscle.session import materialise, pairs_within
 
 SHINGLE_WORDS = 5
 BITMAP_BITS = 1024
@@ -18,10 +18,14 @@ def band_plan(threshold: float, rows: int, miss: float = 0.002) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold**rows))
 
 
-def light_boundary(threshold: float, heavy_cost: int) -> int:
-    """Largest set size whose 2-subsets number no more than the keys that a heavy set costs."""
+#: What filing a set costs, in keys shuffled: hashing so many elements for one minimum costs as much as one key.
+HASHED_PER_KEY = 1000
+
+
+def light_boundary(threshold: float, rows: int, bands: int) -> int:
+    """Largest set size at which all 2-subsets of the prefix cost no more than the minima and the keys of a heavy set."""
     n = 2
-    while math.comb(light_prefix(n + 1, threshold), 2) <= heavy_cost:
+    while math.comb(light_prefix(n + 1, threshold), 2) <= bands + rows * bands * (n + 1) / HASHED_PER_KEY:
         n += 1
     return n
 
@@ -87,7 +91,7 @@ def _signatures(threshold: float, rows: int, bands: int, boundary: int):
                 bits = np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
                 doc.append(k)
                 ns.append(n)
-                sigs.append(np.array([n, np.bitwise_xor.reduce(s), s.sum(dtype=np.uint64)], np.uint64).tobytes())
+                sigs.append(_sign(s))
                 maps.append(np.packbits(bits.astype(np.uint8)).tobytes())
                 keys.append(np.unique(np.concatenate(own) if own else s[:0]).view(np.int64))
             offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
@@ -114,11 +118,19 @@ def _possible(threshold: float):
     return keep
 
 
+def _sign(s) -> bytes:
+    """Tells sets apart, and orders them."""
+    import numpy as np
+
+    return np.array([len(s), np.bitwise_xor.reduce(s), s.sum(dtype=np.uint64)], np.uint64).tobytes()
+
+
 def _sets(batches):
     import pyarrow as pa
 
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+        sets = [(k, s) for k, s in zip(b.column(0).to_pylist(), map(_shingles, b.column(1).to_pylist())) if len(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], b.schema.field(0).type), pa.array([_sign(s) for _, s in sets], pa.binary()), pa.array([s.tobytes() for _, s in sets], pa.binary())], names=["id", "sig", "s"])
 
 
 def _jaccard(batches):
@@ -136,17 +148,18 @@ def _jaccard(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, rows: int = 6, miss: float = 0.002) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, rows: int = 5, miss: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, jaccard) of class representatives, a < b, of Jaccard >= threshold over distinct five-word
     sequences, and members (id, rep): documents with equal sets share one representative, the smallest id.
 
     Every set is one of two kinds, by its size. The cost of a set is the number of keys under which it is filed; the boundary
-    is the largest size at which a light set costs no more than a heavy one (22 to 28 sequences at the thresholds in use).
+    is the largest size at which a light set costs no more than a heavy one (see light_boundary).
     - Light sets are filed under all 2-subsets of those elements of theirs that come first in hash order, so many that
       two sets of the wanted similarity share at least two. That is exact.
-    - Heavy sets are filed under 6-subsets of random minima of the set, and the inverted lists of those are scanned. So many
-      subsets are drawn that a pair exactly at the threshold is missed with probability at most `miss`, a pair 0.05 above
-      it almost never. (Inverted lists of single elements, even of the rarest, grow with the square of the collection.)
+    - Heavy sets are filed under subsets of `rows` random minima of the set, and the inverted lists of those are scanned. So
+      many subsets are drawn that a pair exactly at the threshold is missed with probability at most `miss`, others more
+      seldom. (Inverted lists of single elements, even of the rarest, grow with the square of the collection.) Lists that many
+      sets share are scanned group by group, so no task holds a whole hot list.
     - Sets between the boundary and boundary / threshold are filed both ways, as they may match either kind.
     Candidates must pass two exact tests, without their sets at hand: sizes in proportion, and 1024-bit parity maps differing
     in no more bits than the sets may in elements. What is left is compared set by set. Sets are made from the whole text.
@@ -154,7 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     Rows that repeat an id count once, by their greatest text; rows with a null id, and texts without any word, are in
     neither result. An empty table gives empty results."""
     bands = band_plan(threshold, rows, miss)
-    boundary = light_boundary(threshold, bands)
+    boundary = light_boundary(threshold, rows, bands)
     one = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(one.dtypes)["id"]
     signed = materialise(one.mapInArrow(_signatures(threshold, rows, bands, boundary), f"id {id_type}, n int, sig binary, bitmap binary, keys array<long>"), "signed")
@@ -164,14 +177,15 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     reps = members.where("id = rep").select("id", "sig")
     classes = signed.join(reps, ["id", "sig"], "left_semi")
     filed = classes.select("id", "n", F.explode(F.array_distinct("keys")).alias("key")).distinct()
-    x, y = filed.select(F.col("id").alias("a"), F.col("n").alias("na"), "key"), filed.select(F.col("id").alias("b"), F.col("n").alias("nb"), "key")
-    fit = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6) & (F.col("a") < F.col("b"))
-    pairs = materialise(x.join(y, "key").where(fit).select("a", "b").distinct(), "candidates")
+    filed = filed.join(filed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "key", "left_semi")
+    fit = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6
+    pairs = materialise(pairs_within(filed, ["key"], extra=["n"]).where(fit).select("a", "b").distinct(), "candidates")
     maps = classes.groupBy("id").agg(F.first("n").alias("n"), F.first("bitmap").alias("m"))
     with_maps = pairs.join(maps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma")), "a").join(maps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb")), "b")
     likely = materialise(with_maps.mapInArrow(_possible(threshold), f"a {id_type}, b {id_type}"), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(one.join(wanted, "id", "left_semi").mapInArrow(_sets, f"id {id_type}, s binary").dropDuplicates(["id"]), "sets")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps, "id")
+    sets = one.join(wanted.select("id"), "id", "left_semi").mapInArrow(_sets, f"id {id_type}, sig binary, s binary")
+    sets = materialise(sets.join(wanted, ["id", "sig"], "left_semi").dropDuplicates(["id"]).select("id", "s"), "sets")
     full = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     found = full.mapInArrow(_jaccard, f"a {id_type}, b {id_type}, jaccard double").where(F.col("jaccard") >= threshold - 1e-12)
     return found, members.select("id", "rep")

@@ -298,9 +298,27 @@ def test_many_copies_of_one_text_are_one_class(spark):
 
 
 def test_boundary():
-    assert near_duplicates.band_plan(0.7, 6) == 50 and near_duplicates.light_prefix(3, 0.7) == 2
-    n = near_duplicates.light_boundary(0.7, 50)
-    assert math.comb(near_duplicates.light_prefix(n, 0.7), 2) <= 50 < math.comb(near_duplicates.light_prefix(n + 1, 0.7), 2)
+    assert near_duplicates.band_plan(0.7, 5, 1e-4) == 51 and near_duplicates.light_prefix(3, 0.7) == 2
+    cost = lambda n: 51 + 5 * 51 * n / 1000
+    n = near_duplicates.light_boundary(0.7, 5, 51)
+    assert math.comb(near_duplicates.light_prefix(n, 0.7), 2) <= cost(n) and math.comb(near_duplicates.light_prefix(n + 1, 0.7), 2) > cost(n + 1)
+
+
+def test_both_kinds_of_sets_are_found(spark):
+    rows = texts(5)
+    bands = near_duplicates.band_plan(0.6, 5, 1e-4)
+    edge = near_duplicates.light_boundary(0.6, 5, bands)
+    pairs, _ = near_duplicates.near_duplicates(spark.createDataFrame(rows, "docid long, body string"), "docid", "body", 0.6)
+    sizes = {i: len(sequences(t)) for i, t in rows}
+    kinds = {(sizes[r.a] <= edge, sizes[r.b] <= edge) for r in pairs.collect()}
+    assert {(True, True), (False, False)} <= kinds
+
+
+def test_a_text_that_repeats_an_id_counts_by_one_signature(spark):
+    a, b = " ".join(f"uno{chr(97 + i % 26)}{i // 26 * 'x' or 'y'}" for i in range(60)), " ".join(f"due{chr(97 + i % 26)}{i // 26 * 'z' or 'w'}" for i in range(60))
+    for docs in ([(1, a), (1, b), (2, a), (3, b)], [(3, b), (2, a), (1, b), (1, a)]):
+        _, members = near_duplicates.near_duplicates(spark.createDataFrame(docs, "docid long, body string"), "docid", "body")
+        assert len({frozenset((r.id, r.rep) for r in members.collect())}) == 1 and members.count() == 3
 
 
 # ------------------------------------------------------------------------------------------------------ 8 leaks
