@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.session import materialise, pairs_within
+from corpuscle.session import materialise, pairs_within, small
 
 SHINGLE_WORDS = 5
 BITMAP_BITS = 1024
@@ -176,8 +176,9 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     members = materialise(picked.groupBy("sig").agg(F.min("id").alias("rep")).join(picked, "sig").select("id", "rep", "sig"), "members")
     reps = members.where("id = rep").select("id", "sig")
     classes = signed.join(reps, ["id", "sig"], "left_semi")
-    filed = classes.select("id", "n", F.explode(F.array_distinct("keys")).alias("key")).distinct()
-    filed = filed.join(filed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "key", "left_semi")
+    filed = classes.select("id", "n", F.explode("keys").alias("key"))
+    shared = materialise(filed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "shared")
+    filed = materialise(filed.join(small(shared), "key", "left_semi").distinct(), "filed")  # a small part of all
     fit = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6
     pairs = materialise(pairs_within(filed, ["key"], extra=["n"]).where(fit).select("a", "b").distinct(), "candidates")
     maps = classes.groupBy("id").agg(F.first("n").alias("n"), F.first("bitmap").alias("m"))
