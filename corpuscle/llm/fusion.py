@@ -52,17 +52,40 @@ def value_ranks(rows: DataFrame, groups: list[str], value: str, hot_rows: int =
     return ranked.join(parts, [*groups, "part"]).select(*groups, value, "ties", (F.col("higher") + F.col("before")).alias("higher"), "of")
 
 
-def fuse_scores(rows: DataFrame, group: str, item: str, weights: dict[str, float], hot_rows: int = 100_000, positions: bool = True) -> DataFrame:
+def tie_order(rows: DataFrame, keys: list[str], item: str, ties: str, total: int, hot_rows: int, cuts: int = 255) -> DataFrame:
+    """`rows` with `nth`, from 1: the place of `item` among the rows with equal `keys`, of which there are `ties`.
+
+    Keys of more than hot_rows rows and of more than a thousandth of all rows (so at most a thousand of them) are cut into
+    ranges of items at the quantiles of at most about a million of them, chosen by hash; each range is sorted by its own task
+    and the rows in lower ranges are added."""
+    limit = max(hot_rows, total // HOT_SHARE)
+    hot = rows.where(F.col(ties) > limit)
+    n_hot = hot.count() if total > limit else 0
+    if not n_hot:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(item)))
+    some = hot.where(F.pmod(F.xxhash64(item), F.lit(max(1, n_hot // 1_000_000))) == 0)
+    every = F.sort_array(F.collect_set(item))
+    step = F.size("s") / (cuts + 1)
+    bounds = some.groupBy(*keys).agg(every.alias("s")).select(*keys, F.transform(F.sequence(F.lit(1), F.lit(cuts)), lambda k: F.get("s", F.floor(k * step).cast("int"))).alias("cuts"))
+    cut = rows.join(F.broadcast(bounds), keys, "left").withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col(item))), F.lit(0))).drop("cuts")
+    cut = materialise(cut, "ties")
+    lower = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.where(F.col(ties) > limit).groupBy(*keys, "part").agg(F.count("*").alias("n")).withColumn("lower", F.coalesce(F.sum("n").over(lower), F.lit(0))).drop("n")  # at most a thousand keys x cuts
+    nth = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(item)) + F.coalesce("lower", F.lit(0))
+    return cut.join(F.broadcast(parts), [*keys, "part"], "left").withColumn("nth", nth).drop("part", "lower")
+
+
+def fuse_scores(rows: DataFrame, group: str, item: str, weights: dict[str, float], hot_rows: int = 100_000) -> DataFrame:
     """(group, item, <score>..., <score>_higher..., fused, position): one ranking per group out of the columns in `weights`.
 
     Within the group, each score becomes its empirical percentile with averaged ties, (rows below + half the ties) / rows,
-    then the normal score of that percentile; `fused` is the weighted mean of those, and `position` counts from 1 by fused
-    descending, item ascending. `<score>_higher` is the number of other items of the group with a strictly higher score.
+    then the normal score of that percentile; `fused` is the weighted mean of those, to twelve places (so that the order of
+    summation breaks no tie), and `position` counts from 1 by fused descending, item ascending. `<score>_higher` is the
+    number of other items of the group with a strictly higher score.
 
     A missing score (null or NaN) ranks nothing and is left out of the item's mean; an item without any score has a null
     fused value and comes last. Rows that repeat (group, item) count once, each score by its greatest value. Rows with a
-    null group or item are left out. A group of one item, or with only equal scores, gets 0. Empty in, empty out. With positions=False the last
-    step is left out, and the column `position` with it."""
+    null group or item are left out. A group of one item, or with only equal scores, gets 0. Empty in, empty out."""
     names = list(weights)
     clean = [F.max(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(c) for c in names]
     base = materialise(rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(F.col(group).alias("g"), F.col(item).alias("i")).agg(*clean), "scores")
@@ -71,18 +94,13 @@ def fuse_scores(rows: DataFrame, group: str, item: str, weights: dict[str, float
     wide = skew_join(long, ranks, ["g", "kind", "value"], "ties", long.count())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights.values())), F.col("kind") + 1)
     per = [F.max(F.when(F.col("kind") == k, F.col("value"))).alias(c) for k, c in enumerate(names)] + [F.max(F.when(F.col("kind") == k, F.col("higher"))).alias(f"{c}_higher") for k, c in enumerate(names)]
-    scored = wide.groupBy("g", "i").agg(*per, (F.sum(F.col("z") * weight) / F.sum(weight)).alias("fused"))
+    scored = wide.groupBy("g", "i").agg(*per, F.round(F.sum(F.col("z") * weight) / F.sum(weight), 12).alias("fused"))
     bare = base.where(" and ".join(f"`{c}` is null" for c in names)).select("g", "i", *names, *(F.lit(None).cast("long").alias(f"{c}_higher") for c in names), F.lit(None).cast("double").alias("fused"))
-    every = scored.unionByName(bare)
-    if not positions:
-        return every.select(F.col("g").alias(group), F.col("i").alias(item), *names, *(f"{c}_higher" for c in names), "fused")
-    every = materialise(every, "fused")
-    key = F.struct(F.coalesce(F.col("fused"), F.lit(float("-inf"))).alias("f"))
-    # the final order: a tie in `fused` is broken by the item, so it is ranked within its value
-    final = value_ranks(every.select("g", key["f"].alias("f")), ["g"], "f", hot_rows)
-    order = skew_join(every.withColumn("f", key["f"]), final.select("g", "f", "higher", "ties"), ["g", "f"], "ties", base.count())
-    place = F.row_number().over(Window.partitionBy("g", "f").orderBy("i")) + F.col("higher")
-    return order.select(F.col("g").alias(group), F.col("i").alias(item), *names, *(f"{c}_higher" for c in names), "fused", place.cast("long").alias("position"))
+    every = materialise(scored.unionByName(bare).withColumn("f", F.coalesce("fused", F.lit(float("-inf")))), "fused")
+    total = base.count()
+    order = skew_join(every, value_ranks(every.select("g", "f"), ["g"], "f", hot_rows).drop("of"), ["g", "f"], "ties", total)
+    order = tie_order(order, ["g", "f"], "i", "ties", total, hot_rows)
+    return order.select(F.col("g").alias(group), F.col("i").alias(item), *names, *(f"{c}_higher" for c in names), "fused", (F.col("nth") + F.col("higher")).cast("long").alias("position"))
 
 
 def cosine(a: Column, b: Column) -> Column:

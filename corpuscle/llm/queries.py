@@ -22,17 +22,19 @@ def p2_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("id").alias("chunk_id"), "term", F.col("tf").cast("long").alias("tf"), "df", F.round("score", 6).alias("score"))
 
 
-def _fused(spark: SparkSession, d: str, positions: bool) -> DataFrame:
+def _fused(spark: SparkSession, d: str) -> DataFrame:
     hits = fusion.score_hits(table(spark, d, "hits"), table(spark, d, "chunks"), table(spark, d, "queries"))
-    return fusion.fuse_scores(hits, "query_id", "chunk_id", WEIGHTS, positions=positions)
+    return fusion.fuse_scores(hits, "query_id", "chunk_id", WEIGHTS)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d, False).where("closeness_higher < 10 and lexical_higher < 10 and weight_higher < 10").select("query_id", "chunk_id")
+    """Hits of the whole ranking that few others surpass in any score."""
+    few = " and ".join(f"{k}_higher < 10" for k in WEIGHTS)
+    return _fused(spark, d).where(f"{few} and fused is not null and position >= 1").select("query_id", "chunk_id")
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d, True).select("query_id", "chunk_id", F.round("closeness", 6).alias("closeness"), "lexical", "weight", F.round("fused", 6).alias("fused"), "position")
+    return _fused(spark, d).select("query_id", "chunk_id", F.round("closeness", 6).alias("closeness"), "lexical", "weight", F.round("fused", 6).alias("fused"), "position")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +126,16 @@ s AS (SELECT h.query_id, h.chunk_id, h.lexical, one.weight,
   FROM h LEFT JOIN one USING (chunk_id) LEFT JOIN q USING (query_id)),
 r AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY closeness DESC NULLS LAST) AS c, rank() OVER (PARTITION BY query_id ORDER BY lexical DESC NULLS LAST) AS l, rank() OVER (PARTITION BY query_id ORDER BY weight DESC NULLS LAST) AS w FROM s)"""
 
+_NORMAL = """CASE WHEN least(p, 1 - p) < 0.02425 THEN sign(p - 0.5) * -(((((-7.784894002430293e-03 * t - 3.223964580411365e-01) * t - 2.400758277161838e00) * t - 2.549732539343734e00) * t + 4.374664141464968e00) * t + 2.938163982698783e00)
+    / ((((7.784695709041462e-03 * t + 3.224671290700398e-01) * t + 2.445134137142996e00) * t + 3.754408661907416e00) * t + 1)
+  ELSE (((((-3.969683028665376e01 * r + 2.209460984245205e02) * r - 2.759285104469687e02) * r + 1.383577518672690e02) * r - 3.066479806614716e01) * r + 2.506628277459239e00) * (p - 0.5)
+    / (((((-5.447609879822406e01 * r + 1.615858368580409e02) * r - 1.556989798598866e02) * r + 6.680131188771972e01) * r - 1.328068155288572e01) * r + 1) END"""
+_FUSED = f"""{_KINDS},
+long AS (SELECT query_id, chunk_id, unnest([(1, closeness), (2, lexical), (3, weight)]) AS x FROM s),
+perc AS (SELECT query_id, chunk_id, (count(*) OVER (PARTITION BY query_id, x[1]) - (rank() OVER (PARTITION BY query_id, x[1] ORDER BY x[2] DESC) - 1) - count(*) OVER (PARTITION BY query_id, x[1], x[2]) / 2) / count(*) OVER (PARTITION BY query_id, x[1]) AS p FROM long WHERE x[2] IS NOT NULL),
+z AS (SELECT query_id, chunk_id, {_NORMAL} AS z FROM (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS t, (p - 0.5) * (p - 0.5) AS r FROM perc)),
+fused AS (SELECT query_id, chunk_id, round(sum(z) / count(*), 12) AS fused FROM z GROUP BY ALL)"""
+
 _LINES = r"""
 d AS (SELECT DISTINCT docweb_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS site, body FROM docs),
 numbered AS (SELECT docweb_id, site, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM d),
@@ -172,6 +184,7 @@ SQL = {
     "p2_term_scores": f"""WITH {_TERMS}, n AS (SELECT count(*) AS n FROM one), len AS (SELECT chunk_id, sum(tf) AS dl FROM tfs GROUP BY chunk_id), av AS (SELECT (SELECT sum(dl) FROM len) / (SELECT n FROM n) AS avgdl)
       SELECT chunk_id, term, tf, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM tfs JOIN dfs USING (term) JOIN len USING (chunk_id), n, av""",
     "p3_found": f"WITH {_KINDS} SELECT query_id, chunk_id FROM r WHERE closeness IS NOT NULL AND lexical IS NOT NULL AND weight IS NOT NULL AND c <= 10 AND l <= 10 AND w <= 10",
+    "p3_ranking": f"WITH {_FUSED} SELECT s.query_id, s.chunk_id, round(closeness, 6) AS closeness, lexical, weight, round(fused, 6) AS fused, row_number() OVER (PARTITION BY s.query_id ORDER BY fused DESC NULLS LAST, s.chunk_id) AS position FROM s LEFT JOIN fused USING (query_id, chunk_id)",
     "p4_found": f"WITH {_LINES} SELECT DISTINCT docweb_id, line_no FROM keyed JOIN often USING (site, key)",
     "p5_found": """WITH one AS (SELECT chunk_id, max(embedding) AS v FROM chunks WHERE chunk_id IS NOT NULL AND len(embedding) = 64 GROUP BY chunk_id),
       u AS (SELECT chunk_id, v::DOUBLE[] AS v, sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[])) AS n FROM one)
