@@ -186,6 +186,8 @@ SQL = {
     "p3_found": f"WITH {_KINDS} SELECT query_id, chunk_id FROM r WHERE closeness IS NOT NULL AND lexical IS NOT NULL AND weight IS NOT NULL AND c <= 10 AND l <= 10 AND w <= 10",
     "p3_ranking": f"WITH {_FUSED} SELECT s.query_id, s.chunk_id, round(closeness, 6) AS closeness, lexical, weight, round(fused, 6) AS fused, row_number() OVER (PARTITION BY s.query_id ORDER BY fused DESC NULLS LAST, s.chunk_id) AS position FROM s LEFT JOIN fused USING (query_id, chunk_id)",
     "p4_found": f"WITH {_LINES} SELECT DISTINCT docweb_id, line_no FROM keyed JOIN often USING (site, key)",
+    "p4_clean_bodies": f"""WITH {_LINES}, kept AS (SELECT keyed.docweb_id, body, line_no, string_split(body, chr(10))[line_no] AS line, often.key IS NULL AS stays FROM keyed JOIN d USING (docweb_id, site) LEFT JOIN often USING (site, key))
+      SELECT DISTINCT d.docweb_id, CASE WHEN body IS NOT NULL THEN coalesce(c, '') END AS clean_body FROM d LEFT JOIN (SELECT docweb_id, body, array_to_string(list(line ORDER BY line_no) FILTER (stays), chr(10)) AS c FROM kept GROUP BY ALL) USING (docweb_id, body)""",
     "p5_found": """WITH one AS (SELECT chunk_id, max(embedding) AS v FROM chunks WHERE chunk_id IS NOT NULL AND len(embedding) = 64 GROUP BY chunk_id),
       u AS (SELECT chunk_id, v::DOUBLE[] AS v, sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[])) AS n FROM one)
       SELECT x.chunk_id AS chunk_id_a, y.chunk_id AS chunk_id_b FROM u x JOIN u y ON x.chunk_id < y.chunk_id WHERE x.n > 0 AND y.n > 0 AND list_inner_product(x.v, y.v) / x.n / y.n >= 0.95""",

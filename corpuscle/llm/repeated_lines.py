@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.session import materialise, small
+from corpuscle.session import BROADCAST_ROWS, materialise, skew_join, small
 
 WILD = "*"
 
@@ -23,22 +23,40 @@ def tree_path(tokens: list[str], depth: int) -> str:
     return " ".join([str(len(tokens)), *(WILD if any(c.isdigit() for c in t) else t for t in tokens[:depth])])
 
 
-def fits(template: list[str], tokens: list[str]) -> float:
-    """Share of slots in which a line agrees with a template of its length; wildcard slots agree with everything."""
-    return sum(a == b or a == WILD for a, b in zip(template, tokens)) / max(1, len(tokens))
-
-
-def grow(templates: list[list[str]], tokens: list[str], share: float) -> int:
-    """Put a line (or a template) into the first best template of its leaf, widening its slots; else open a new one."""
-    best, at = 0.0, -1
-    for k, t in enumerate(templates):
-        if (f := fits(t, tokens)) > best:
-            best, at = f, k
-    if at >= 0 and best >= share:
-        templates[at] = [a if a == b else WILD for a, b in zip(templates[at], tokens)]
+class Leaf:
+    """The templates of one leaf, all of one length. Of each slot's words an index says which templates have them, so a line is
+    held against those only that it shares a word with, or that have wildcards."""
+
+    def __init__(self, share: float):
+        self.share = share
+        self.templates: list[list[str]] = []
+        self.having: dict[tuple[int, str], set[int]] = {}
+        self.wild: dict[int, int] = {}
+
+    def put(self, tokens: list[str]) -> int:
+        """Put a line (or a template) into the first of the templates that agree with it in most slots, if that is a large
+        enough share of them, widening its other slots; else open a new one. Wildcard slots agree with everything."""
+        votes = dict(self.wild)
+        for slot in enumerate(tokens):
+            for t in self.having.get(slot, ()):
+                votes[t] = votes.get(t, 0) + 1
+        at = min(votes, key=lambda t: (-votes[t], t), default=-1)
+        if at >= 0 and votes[at] >= self.share * max(1, len(tokens)):
+            own = self.templates[at]
+            for k, (a, b) in enumerate(zip(own, tokens)):
+                if a != b and a != WILD:
+                    self.having[k, a].discard(at)
+                    self.wild[at] = self.wild.get(at, 0) + 1
+                    own[k] = WILD
+            return at
+        at = len(self.templates)
+        self.templates.append(list(tokens))
+        for k, w in enumerate(tokens):
+            if w == WILD:
+                self.wild[at] = self.wild.get(at, 0) + 1
+            else:
+                self.having.setdefault((k, w), set()).add(at)
         return at
-    templates.append(list(tokens))
-    return len(templates) - 1
 
 
 def _scan(depth: int, with_text: bool):
@@ -82,13 +100,13 @@ def _local_templates(share: float):
         """One tree per partition; its leaves' templates are given out at the end, with the lines they hold."""
         import pyarrow as pa
 
-        leaves: dict[tuple, tuple[list, dict]] = {}
+        leaves: dict[tuple, tuple[Leaf, dict]] = {}
         for b in batches:
             for site, leaf, key, text in zip(*(b.column(i).to_pylist() for i in range(4))):
-                templates, held = leaves.setdefault((site, leaf), ([], {}))
+                trees, held = leaves.setdefault((site, leaf), (Leaf(share), {}))
                 if key not in held:
-                    held[key] = grow(templates, text.split(" "), share)
-        rows = [(s, lf, k, " ".join(t[at])) for (s, lf), (t, held) in leaves.items() for k, at in held.items()]
+                    held[key] = trees.put(text.split(" "))
+        rows = [(s, lf, k, " ".join(t.templates[at])) for (s, lf), (t, held) in leaves.items() for k, at in held.items()]
         types = (pa.string(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(4)], names=["site", "leaf", "key", "local"])
 
@@ -99,9 +117,9 @@ def _merge_templates(share: float):
     def merge(pdf):
         import pandas as pd
 
-        merged: list[list[str]] = []
-        at = [grow(merged, t.split(" "), share) for t in pdf["local"]]
-        return pd.DataFrame({"site": pdf["site"], "leaf": pdf["leaf"], "local": pdf["local"], "template": [" ".join(merged[k]) for k in at]})
+        merged = Leaf(share)
+        at = [merged.put(t.split(" ")) for t in pdf["local"]]
+        return pd.DataFrame({"site": pdf["site"], "leaf": pdf["leaf"], "local": pdf["local"], "template": [" ".join(merged.templates[k]) for k in at]})
 
     def sorted_merge(pdf):
         # the same trees whatever the order of arrival: the widest templates first
@@ -137,18 +155,27 @@ def mine_lines(docs: DataFrame, id_col: str = "docweb_id", url_col: str = "url",
         enough = counts.where(F.col("docs") >= min_docs).join(sites, "site")
         return enough.where(F.col("docs") >= F.col("site_docs") * min_share - 1e-9)
 
-    leaves = materialise(frequent(lines.groupBy("site", "leaf").agg(F.count_distinct("doc").alias("docs"))).select("site", "leaf"), "leaves")
-    texts = rows.mapInArrow(_scan(depth, True), "site string, leaf long, key long, text string").join(small(leaves), ["site", "leaf"], "left_semi").select("site", "leaf", "key", "text")
+    of_leaf = ["site", "leaf"]
+    of_key = [*of_leaf, "key"]
+    total = spots.count()
+
+    def wide(right: DataFrame, keys: list[str]) -> DataFrame:
+        """Lines of the keys of `right`, which says in `n` how many there are: by broadcast if these are few, else without
+        gathering the lines of any one key, such as a notice on all pages of a site, in one task."""
+        return lines.join(small(right), keys) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else skew_join(lines, right, keys, "n", total)
+
+    leaves = materialise(frequent(lines.groupBy(*of_leaf).agg(F.count_distinct("doc").alias("docs"), F.count("*").alias("n"))).select(*of_leaf, "n"), "leaves")
+    texts = rows.mapInArrow(_scan(depth, True), "site string, leaf long, key long, text string").join(small(leaves), of_leaf, "left_semi").select("site", "leaf", "key", "text")
     local = materialise(texts.mapInArrow(_local_templates(slot_share), "site string, leaf long, key long, local string"), "local")
-    merged = local.select("site", "leaf", "local").distinct().groupBy("site", "leaf").applyInPandas(_merge_templates(slot_share), "site string, leaf long, local string, template string")
+    merged = local.select("site", "leaf", "local").distinct().groupBy(*of_leaf).applyInPandas(_merge_templates(slot_share), "site string, leaf long, local string, template string")
     of_local = materialise(merged.withColumn("tid", F.xxhash64("site", "leaf", "template")), "merged")
-    of_key = materialise(local.join(of_local, ["site", "leaf", "local"]).groupBy("site", "leaf", "key").agg(F.min("tid").alias("tid")), "wordings")
-    held = lines.join(small(leaves), ["site", "leaf"], "left_semi").join(small(of_key), ["site", "leaf", "key"])
+    kept = materialise(wide(leaves, of_leaf).groupBy(*of_key).agg(F.count_distinct("doc").alias("docs"), F.count("*").alias("n")), "counted")
+    wordings = materialise(local.join(of_local, ["site", "leaf", "local"]).groupBy(*of_key).agg(F.min("tid").alias("tid")).join(kept, of_key), "wordings")
+    held = wide(wordings.select(*of_key, "tid", "n"), of_key)
     broad = materialise(frequent(held.groupBy("site", "tid").agg(F.count_distinct("doc").alias("docs"))), "templates")
-    covered = of_key.join(small(broad.select("site", "tid")), ["site", "tid"], "left_semi").select("site", "leaf", "key")
     templates = of_local.groupBy("site", "tid").agg(F.min("template").alias("template")).join(broad, ["site", "tid"]).select("site", "template", "docs", "site_docs")
-    wordings = materialise(frequent(lines.join(small(covered), ["site", "leaf", "key"], "left_semi").groupBy("site", "leaf", "key").agg(F.count_distinct("doc").alias("docs"))), "repeated")
-    found = lines.join(small(wordings), ["site", "leaf", "key"]).select(F.col("doc").alias(id_col), "line_no", "site", "docs").distinct()
+    repeated = materialise(frequent(wordings.join(small(broad.select("site", "tid")), ["site", "tid"], "left_semi")).select(*of_key, "docs", "n"), "repeated")
+    found = wide(repeated, of_key).select(F.col("doc").alias(id_col), "line_no", "site", "docs").distinct()
     return found, templates
 
 
