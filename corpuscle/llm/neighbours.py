@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from corpuscle.session import materialise, skew_join
 
-#: Vectors taken to the driver to place the lists' centres; everything else covers all vectors.
+#: Vectors taken to the driver to place centres, and vectors a centre is placed by in the workers; all else covers all vectors.
 TRAIN_ROWS = 20_000
-MAX_LISTS = 4096
+ROWS_PER_CENTRE = 30
+#: Up to so many lists their centres are placed on the driver; beyond, only those of groups of lists.
+FLAT_LISTS = 1024
 #: Lists looked through for a vector are the square root of the number of lists, at least this many (recall: see README).
 MIN_PROBES = 8
 
@@ -22,6 +24,12 @@ def probes_for(lists: int) -> int:
     return min(lists, max(MIN_PROBES, math.isqrt(lists - 1) + 1))
 
 
+def lists_for(n: int, list_rows: int) -> int:
+    """Number of lists for n vectors: one for list_rows of them, but no more than four times the root of n, so that what
+    every worker holds (the centres) and the rows of a list both grow with the root only."""
+    return max(1, min(n // list_rows, 4 * math.isqrt(n)))
+
+
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix; after it, any few dimensions are a fair sample of a vector."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -88,17 +96,57 @@ def unit_classes(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> tuple[
     repeats counts once, by its greatest vector."""
     good = F.col(id_col).isNotNull() & (F.size(vec_col) == dim) & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists(vec_col, lambda x: x != 0)
     one = materialise(rows.where(good).groupBy(F.col(id_col).alias("id")).agg(F.max(vec_col).alias("v")), "vectors")
-    reps = one.groupBy("v").agg(F.min("id").alias("id"))
-    members = one.withColumn("h", F.xxhash64("v")).join(reps.select(F.col("id").alias("rep"), F.col("v").alias("rv"), F.xxhash64("v").alias("h")), "h").where("v = rv").select("id", "rep")
-    return reps.select("id", "v"), members
+    reps = materialise(one.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "reps")
+    # only what has copies is joined; a vector that a large share of the rows has is joined where these are
+    many = reps.where("copies > 1").select(F.xxhash64("v").alias("h"), F.col("id").alias("rep"), F.col("v").alias("rv"), "copies")
+    copied = skew_join(one.withColumn("h", F.xxhash64("v")), many, ["h"], "copies", one.count()).where("v = rv").select("id", "rep")
+    return reps.select("id", "v"), reps.where("copies = 1").select("id", F.col("id").alias("rep")).unionByName(copied)
+
+
+def _unit(v: np.ndarray, rot: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)
+    return ((v / np.linalg.norm(v, axis=1, keepdims=True)) @ rot).astype(np.float32)
+
+
+def place_centres(reps: DataFrame, n: int, lists: int, dim: int, rot: np.ndarray, seed: int, flat_lists: int) -> np.ndarray:
+    """Centres of so many lists, by spherical k-means on vectors chosen by hash: on at most TRAIN_ROWS of them on the driver, or,
+    for more than flat_lists lists, in two levels. Then the driver places groups of lists only, and each group's centres
+    are placed in a task of its own, as many as its share of the vectors, on ROWS_PER_CENTRE vectors for each."""
+    every = max(1, n // TRAIN_ROWS)
+    chosen = reps.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
+    train = np.array([r.v for r in chosen.select("v").collect()], dtype=np.float64).reshape(-1, dim)
+    train = _unit(train if len(train) else np.eye(dim)[:1], rot)
+    if lists <= flat_lists:
+        return centres(train, min(lists, len(train)), seed)
+    coarse = centres(train, min(math.isqrt(lists), len(train)), seed)
+
+    def group(batches):
+        import pyarrow as pa
 
+        for b in batches:
+            v = _unit(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64), rot) if b.num_rows else np.zeros((0, dim), np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array((v @ coarse.T).argmax(1).astype(np.int32)), pa.array([r.tobytes() for r in v], pa.binary())], names=["g", "vec"])
 
-def nearest(reps: DataFrame, k: int = 10, dim: int = 64, min_cosine: float | None = None, probes: int | None = None, list_rows: int = 400, block: int = 16, eps: float = 2.1, cell_rows: int = 8192, seed: int = 7) -> DataFrame:
+    rate = max(1, n // (ROWS_PER_CENTRE * lists))
+
+    def place(key, tab):
+        import pyarrow as pa
+
+        v = np.frombuffer(b"".join(tab.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+        c = centres(v, max(1, min(len(v), round(len(v) * rate * lists / n))), seed)
+        return pa.table({"vec": pa.array([r.astype(np.float32).tobytes() for r in c], pa.binary())})
+
+    some = reps.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rate)) == 0).select("v")
+    found = some.mapInArrow(group, "g int, vec binary").groupBy("g").applyInArrow(place, "vec binary").collect()  # about `lists` rows
+    return np.frombuffer(b"".join(sorted(bytes(r.vec) for r in found)), np.float32).reshape(-1, dim)
+
+
+def nearest(reps: DataFrame, k: int = 10, dim: int = 64, min_cosine: float | None = None, probes: int | None = None, list_rows: int = 400, block: int = 16, eps: float = 2.1, cell_rows: int = 8192, seed: int = 7, flat_lists: int = FLAT_LISTS) -> DataFrame:
     """(id, other, cosine): for every row of reps (id, v) its k nearest other rows, nearest first, approximately.
 
-    Lists: k-means centres, one for about list_rows vectors (at most MAX_LISTS), placed on at most TRAIN_ROWS vectors chosen
-    by hash; all vectors are then put into the list of their nearest centre, and looked for in `probes` lists, by default as
-    many as probes_for() says, which grow with the lists. Lists larger than cell_rows are cut into cells on the side searched
+    Lists: as many as lists_for() says, around the centres of place_centres(), which are placed on vectors chosen by hash; all
+    vectors are then put into the list of their nearest centre, and looked for in `probes` lists, by default as many as
+    probes_for() says, which grow with the lists. Lists larger than cell_rows are cut into cells on the side searched
     and on the side asked, so a list that holds a third of all vectors is spread over many tasks, and each task holds at
     most two cells. Inside, see adaptive_scan. Accuracy is measured against brute force in the tests. With min_cosine only
     rows at least so similar are given, and abandoned earlier."""
@@ -108,16 +156,9 @@ def nearest(reps: DataFrame, k: int = 10, dim: int = 64, min_cosine: float | Non
     schema = f"id {id_type}, other {id_type}, cosine double"
     if n < 2:
         return spark.createDataFrame([], schema)
-    every = max(1, n // TRAIN_ROWS)
-    train = np.array([r.v for r in reps.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).select("v").collect()], dtype=np.float64)
     rot = rotation(dim, seed)
-    if len(train) == 0:
-        train = np.eye(dim)[:1]
-    size = np.abs(train).max(1, keepdims=True)
-    train = train / size
-    train = (train / np.linalg.norm(train, axis=1, keepdims=True)) @ rot
-    lists = int(min(max(1, n // list_rows), MAX_LISTS, len(train)))
-    cent = centres(train.astype(np.float32), lists, seed)
+    cent = place_centres(reps, n, lists_for(n, list_rows), dim, rot, seed, flat_lists)
+    lists = len(cent)
     np_probes = probes_for(lists) if probes is None else min(probes, lists)
 
     def assign(batches):
@@ -125,9 +166,7 @@ def nearest(reps: DataFrame, k: int = 10, dim: int = 64, min_cosine: float | Non
 
         rows = max(1, 40_000 // np_probes)  # a vector becomes np_probes rows
         for b in (b.slice(s, rows) for b in batches for s in range(0, b.num_rows, rows)):
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-            v = v / np.abs(v).max(1, keepdims=True)
-            v = ((v / np.linalg.norm(v, axis=1, keepdims=True)) @ rot).astype(np.float32)
+            v = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64), rot)
             near = v @ cent.T
             top = np.argpartition(-near, np_probes - 1, axis=1)[:, :np_probes]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
@@ -137,7 +176,7 @@ def nearest(reps: DataFrame, k: int = 10, dim: int = 64, min_cosine: float | Non
             yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), b.column(0).take(pa.array(at)), vec, pa.array(home)], names=["list", "id", "vec", "home"])
 
     placed = materialise(reps.select("id", "v").mapInArrow(assign, f"list int, id {id_type}, vec binary, home boolean"), "placed")
-    # one row per list, at most MAX_LISTS
+    # one row per list, see lists_for()
     sizes = placed.groupBy("list").agg(F.ceil(F.count_if("home") / cell_rows).cast("int").alias("nd"), F.ceil(F.count("*") / cell_rows).cast("int").alias("nq"))
     h = F.xxhash64("id")
     wide = placed.join(F.broadcast(sizes.withColumn("nd", F.greatest("nd", F.lit(1)))), "list")

@@ -152,13 +152,14 @@ def vectors(n, seed, copies=0):
     return np.vstack([x, near, *([x[:1]] * copies)]).astype(np.float32)
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("flat_lists", [1024, 4])
+def test_neighbours_recall(spark, flat_lists):
     x = vectors(3000, 1)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     df = clash(spark.createDataFrame([(f"c{i:05d}", r.tolist()) for i, r in enumerate(x)], "cid string, vec array<float>"))
     reps, _ = neighbours.unit_classes(df, "cid", "vec", 64)
     got = defaultdict(list)
-    for r in neighbours.nearest(reps, 10, list_rows=100, cell_rows=64).collect():
+    for r in neighbours.nearest(reps, 10, list_rows=100, cell_rows=64, flat_lists=flat_lists).collect():
         got[int(r.id[1:])].append((r.cosine, int(r.other[1:])))
     s = u @ u.T
     np.fill_diagonal(s, -2)
@@ -183,7 +184,8 @@ def test_neighbours_recall_on_chunks_at_defaults(spark):
     assert np.mean(hits) >= 0.9, np.mean(hits)
 
 
-def test_probes_grow_with_the_lists():
+def test_lists_and_probes_grow():
+    assert [neighbours.lists_for(n, 400) for n in (1, 7_711, 76_293, 1_600_000, 10**8, 10**10)] == [1, 19, 190, 4000, 40_000, 400_000]
     assert [neighbours.probes_for(n) for n in (1, 5, 19, 190, 4096)] == [1, 5, 8, 14, 64]
 
 
