@@ -6,14 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.session import materialise
+from corpuscle.session import materialise, small
 
 #: Labelled records on which the classifier is fitted, chosen by hash; all else covers every record.
 FIT_ROWS = 6_000
 #: Sources of a mixture; the driver holds a few numbers for each.
 MAX_SOURCES = 20_000
 BUCKETS = 1 << 14
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: fixed value: the pattern with which this public vocabulary cuts text before merging
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -95,7 +94,7 @@ def _fold(history: np.ndarray, caps: np.ndarray) -> callable:
     return rates
 
 
-def fit_rates(table: DataFrame, names: list[str], targets: np.ndarray, caps: np.ndarray, rounds: int = 40, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_rates(table: DataFrame, names: list[str], targets: np.ndarray, caps: np.ndarray, rounds: int = 40, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Nonnegative rates whose expected tokens per source come closest to the targets (mixes x sources), by least squares.
 
     Records with a known source all follow the same steps, so each source is one cell, of its tokens' sum; records of
@@ -147,18 +146,21 @@ def fit_rates(table: DataFrame, names: list[str], targets: np.ndarray, caps: np.
     return rate, np.array(history).reshape(-1, *targets.shape)
 
 
-def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str = TOKENIZER, fit_rows: int = FIT_ROWS, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, tokenizer: str, fit_rows: int = FIT_ROWS, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
     """(records, report) for each mix of `targets` (mix_id, source, target_share, max_repeats, total_share_of_corpus).
 
     records: (mix_id, id, source, tokens, copies), copies >= 1 and never above max_repeats of the source. report: one row per
-    mix and source, of target_tokens, target_share, actual_tokens, actual_share (of the mix as it came out), records, copies
-    and most_copies.
-
-    Tokens are those of the public tokenizer at `tokenizer`. A record of unknown source gets posteriors from a classifier
-    fitted on at most fit_rows labelled records, counts for its expected sources when the rates are fitted, and is reported
-    under the likeliest one. A rate r becomes floor(r) copies of all records of the source, and one more of those that come
-    first in an order by hash, until their tokens reach the rest; sums run per hash bucket, so no source, however large, is
-    sorted in one task.
+    mix and source, of target_tokens, target_share, actual_tokens, actual_share (of the mix as it came out), records, copies,
+    most_copies, reach_tokens (what the source gives at most, at max_repeats) and feasible_size (of the mix: the largest size at which
+    every source that has records can keep its share; above it, sources fall short and the shares of others are larger).
+
+    Tokens are those of the public tokenizer at `tokenizer`. A record of known source belongs to it wholly, so all records of
+    a source have one rate. A record of unknown source gets posteriors from a classifier fitted on at most fit_rows labelled
+    records, a rate of its own from the fit, and is used and reported under the likeliest source. A rate r becomes floor(r) copies
+    and, for the rest, one more with that probability (unknown source; by hash), or for the records that come first in
+    an order by hash until their tokens reach the rest (known source). The latter are asked for what the former left open, so the
+    tokens of a source are met to within half a record and the fractions of unknown ones, unless max_repeats binds. Sums run
+    per hash bucket, so no source, however large, is sorted in one task.
 
     A target without records stays unmet and is reported with 0; sources without target are not used; where max_repeats
     doesn't suffice, the source falls short. Null shares count as 0, null max_repeats as 1. Null and empty texts have no tokens
@@ -172,14 +174,15 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     listed = sorted(wanted.collect(), key=lambda r: (r.mix_id, r.source))
     if not listed:
         records = spark.createDataFrame([], f"mix_id {mix_type}, `{id_col}` {id_type}, source string, tokens long, copies int")
-        return records, spark.createDataFrame([], f"mix_id {mix_type}, source string, target_share double, target_tokens long, actual_tokens long, records long, copies long, most_copies int, actual_share double")
+        return records, spark.createDataFrame([], f"mix_id {mix_type}, source string, target_share double, target_tokens long, reach_tokens long, feasible_size long, actual_tokens long, records long, copies long, most_copies int, actual_share double")
     labelled = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source_name(F.col(source_col)).alias("source")).where("source is not null and text is not null")
     per_source = {r.source: r["count"] for r in labelled.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
     names = sorted({r.source for r in listed} | set(per_source))
     if len(names) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    every = max(1, sum(per_source.values()) // max(1, fit_rows))
-    sample = [(r.source, r.text) for r in labelled.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(fit_rows).select("source", "text").collect()]
+    every = max(1, sum(per_source.values()) // max(1, 2 * fit_rows))  # about twice what is wanted, so that the order decides, not the file
+    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(fit_rows)
+    sample = [(r.source, r.text) for r in chosen.select("source", "text").collect()]
     table = materialise(measure(docs, id_col, text_col, source_col, names, fit_classifier(sample, names), tokenizer), "measured")
     mixes = sorted({r.mix_id for r in listed})
     at, of = {m: i for i, m in enumerate(mixes)}, {s: i for i, s in enumerate(names)}
@@ -206,21 +209,38 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     import pyarrow as pa
 
     mix_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[mix_type]
+    draw = F.pmod(F.xxhash64("id", "mix_id"), F.lit(1_000_000)) / 1e6
+    loose = table.where("soft is not null and tokens > 0").select("id", "tokens", "soft").mapInArrow(soft_rates, f"mix_id {mix_type}, id {id_type}, source string, tokens long, rate double")
+    loose = loose.select("mix_id", "id", "source", "tokens", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("copies"))
+    loose = materialise(loose.where("copies > 0"), "loose")
+    # what the records of unknown source came to, as whole records under their likeliest source, the others make up for
+    hard, came = np.zeros(len(names)), np.zeros_like(goal)
+    for r in table.where("soft is null and source is not null").groupBy("source").agg(F.sum("tokens").alias("n")).collect():
+        hard[of[r.source]] = r.n
+    for r in loose.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect():
+        came[at[r.mix_id], of[r.source]] = r.n
+    rate = np.clip((goal - came) / np.maximum(hard, 1), 0, caps)
     cells = spark.createDataFrame([(m, s, float(rate[at[m], of[s]])) for m in mixes for s in names if rate[at[m], of[s]] > 0], f"mix_id {mix_type}, source string, rate double")
     known = table.where("soft is null and source is not null and tokens > 0").withColumn("h", F.xxhash64("id")).withColumn("part", F.pmod("h", F.lit(buckets)))
     sums = known.groupBy("source", "part").agg(F.sum("tokens").alias("n"))
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("source"))).drop("n")
     inside = Window.partitionBy("source", "part").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = known.withColumn("here", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(F.broadcast(before), ["source", "part"])  # at most sources x buckets rows
+    placed = known.withColumn("here", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(small(before), ["source", "part"])
     rest = (F.col("rate") - F.floor("rate")) * F.col("all")
     more = F.when(F.col("before") + F.col("here") + F.col("tokens") / 2 <= rest, 1).otherwise(0)
-    hard = placed.join(F.broadcast(cells), "source").select("mix_id", "id", "source", "tokens", (F.floor("rate") + more).cast("int").alias("copies"))  # mixes x sources rows
-    draw = F.pmod(F.xxhash64("id", "mix_id"), F.lit(1_000_000)) / 1e6
-    loose = table.where("soft is not null and tokens > 0").select("id", "tokens", "soft").mapInArrow(soft_rates, f"mix_id {mix_type}, id {id_type}, source string, tokens long, rate double")
-    loose = loose.select("mix_id", "id", "source", "tokens", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("copies"))
-    records = materialise(hard.unionByName(loose).where("copies > 0"), "mixed")
+    firm = placed.join(small(cells), "source").select("mix_id", "id", "source", "tokens", (F.floor("rate") + more).cast("int").alias("copies"))
+    records = materialise(firm.unionByName(loose).where("copies > 0"), "mixed")
     got = records.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("actual_tokens"), F.count("*").alias("records"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
-    want = spark.createDataFrame([(r.mix_id, r.source, float(r.share), int(round(goal[at[r.mix_id], of[r.source]]))) for r in listed], f"mix_id {mix_type}, source string, target_share double, target_tokens long")
+    soft_tokens = np.zeros(len(names))
+    for r in table.where("soft is not null").groupBy(F.get(F.array(*map(F.lit, names)), F.expr("array_position(soft, array_max(soft)) - 1").cast("int")).alias("source")).agg(F.sum("tokens").alias("n")).collect():
+        soft_tokens[of[r.source]] += r.n
+    reach = caps * (hard + soft_tokens)
+    share = np.zeros_like(goal)
+    for r in listed:
+        share[at[r.mix_id], of[r.source]] = r.share
+    feasible = {m: min((reach[i, k] / share[i, k] for k in range(len(names)) if share[i, k] > 0 and reach[i, k] > 0), default=0.0) for m, i in at.items()}
+    want = [(r.mix_id, r.source, float(r.share), int(round(goal[at[r.mix_id], of[r.source]])), int(reach[at[r.mix_id], of[r.source]]), int(feasible[r.mix_id])) for r in listed]
+    want = spark.createDataFrame(want, f"mix_id {mix_type}, source string, target_share double, target_tokens long, reach_tokens long, feasible_size long")
     report = want.join(got, ["mix_id", "source"], "left").fillna(0, ["actual_tokens", "records", "copies", "most_copies"])
     size = F.sum("actual_tokens").over(Window.partitionBy("mix_id"))
     report = report.withColumn("actual_share", F.when(size > 0, F.col("actual_tokens") / size).otherwise(0.0))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import contamination, distinctive, fusion, groups, mixing, near_duplicates, neighbours, repeated_lines, truncation
 from corpuscle.sources.tables import table
 
+#: The vocabulary of a public tokenizer; where it lies is up to the installation.
+TOKENIZER = os.environ.get("CORPUSCLE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Every score counts as much as the others.
 WEIGHTS = {"closeness": 1.0, "lexical": 1.0, "weight": 1.0}
 
@@ -93,11 +97,11 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix_records(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=TOKENIZER)[0]
 
 
 def p9_mix_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=TOKENIZER)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
