@@ -79,3 +79,54 @@ def test_a_page_restored_to_an_old_version_is_processed_again(spark):
     rows = [(1, 200, 0, "a", 0), (1, 200, 2, "b", 2), (1, 404, 4, None, 4), (1, 200, 6, "a", 6), (1, 200, 8, "a", 8)]
     got = replay(log(spark, rows), runs(spark, [(i, 2 * i - 1, "ok") for i in range(1, 6)]), ChangeFeed()).collect()
     assert {r.run_id for r in got} == {1, 2, 4}
+
+
+def test_a_compacted_ledger_holds_the_same(spark, tmp_path):
+    rows, rs = history(11)
+    want, got = brute(rows, rs), set()
+    table = log(spark, rows)
+    for i, a, s in rs:
+        p = IncrementalProcessor(spark, str(tmp_path / "l"), compact_every=3)
+        if s == "ok":
+            found = p.pending(table, day(a)).cache()
+            got |= {(i, r.key) for r in found.collect()}
+            p.commit(i, day(a), found)
+    assert got == want and len(p._base()[1]) >= 3 and len(p.runs()) == sum(s == "ok" for _, _, s in rs)
+
+
+def test_low_marks_against_brute_force():
+    import numpy as np
+    import pyarrow as pa
+
+    from corpuscle.operators.incremental import _low_marks
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 300):
+        starts = np.sort(rng.integers(0, 1000, n))
+        begin = rng.integers(0, 1000, 200)
+        commit = begin + rng.integers(0, 300, 200)
+        batch = pa.RecordBatch.from_arrays([pa.array(begin), pa.array(commit)], names=["begin", "commit"])
+        got = {i: x for b in _low_marks(starts)([batch]) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        open_at = {i: begin[(begin < s) & (commit >= s)] for i, s in enumerate(starts)}
+        assert got == {i: int(x.min()) for i, x in open_at.items() if len(x)}
+
+
+def test_twenty_thousand_runs(spark):
+    import time
+
+    rnd = random.Random(1)
+    rows = [(k, 200, f, f"h{rnd.randrange(3)}", f + rnd.choice([0, 0, 0.01, 5])) for k, f in ((rnd.randrange(200), rnd.random() * 200) for _ in range(3000))]
+    table, took = log(spark, rows).cache(), {}
+    for n in (80, 20_000):
+        t = time.perf_counter()
+        assert replay(table, runs(spark, [(i, 205 * (i + 1) / n, "ok") for i in range(n)])).count() > 1000
+        took[n] = time.perf_counter() - t
+    assert took[20_000] < 4 * took[80] + 5, took
+
+
+def test_marks_reach_the_scan(spark, tmp_path):
+    rows, _ = history(2)
+    log(spark, rows).write.parquet(str(tmp_path / "log"))
+    plan = ChangeFeed().rows(spark.read.parquet(str(tmp_path / "log")), day(5), day(3))._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "LessThan(written_at" in pushed and "GreaterThanOrEqual(fetched_at" in pushed
