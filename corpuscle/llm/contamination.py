@@ -48,14 +48,15 @@ class Seeds:
             out = (out * 1_000_003 + part) & 0x7FFFFFFFFFFFFFF
         return np.where(known, out, -1)
 
-    def hits(self, codes: np.ndarray) -> np.ndarray:
-        """Positions in `table` of the n-grams that a text has, with repeats."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a text has n-grams of items, and which: places in the text, and positions in `table`."""
         g = self.grams(codes)
-        g = g[g >= 0]
-        if not len(g) or not len(self.table):
-            return np.zeros(0, np.int64)
-        p = np.minimum(np.searchsorted(self.table, g), len(self.table) - 1)
-        return p[self.table[p] == g]
+        at = np.flatnonzero(g >= 0)
+        if not len(at) or not len(self.table):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        p = np.minimum(np.searchsorted(self.table, g[at]), len(self.table) - 1)
+        there = self.table[p] == g[at]
+        return at[there], p[there]
 
     def sharing(self, p: np.ndarray) -> np.ndarray:
         """The items that have any of the n-grams at the positions p of `table`, ascending."""
@@ -142,12 +143,21 @@ def align(item: np.ndarray, text: np.ndarray, match: float = 2.0, other: float =
     return best, end
 
 
+def align_at(item: np.ndarray, text: np.ndarray, seeds: np.ndarray, n: int) -> float:
+    """Score of the best alignment near any of the places `seeds` in the text. An alignment spans at most three times as many
+    words as the item has, or its gaps would cost more than its matches earn, so no alignment over a seed is left out."""
+    reach = 3 * len(item)
+    gaps = np.flatnonzero(np.diff(seeds) > 2 * reach + n)
+    first, last = seeds[np.concatenate([[0], gaps + 1])], seeds[np.concatenate([gaps, [len(seeds) - 1]])]
+    return max(align(item, text[max(0, a - reach) : b + n + reach])[0] for a, b in zip(first, last))
+
+
 def _coded(seeds: Seeds, text: str | None) -> np.ndarray:
     get = seeds.vocab.get
     return np.array([get(w, 0) for w in words_of(text)], np.int64)
 
 
-def _match(seeds: Seeds, min_run: int, min_share: float):
+def _match(seeds: Seeds, min_run: int, min_share: float, min_words: int):
     def match(batches):
         from functools import lru_cache
 
@@ -160,11 +170,12 @@ def _match(seeds: Seeds, min_run: int, min_share: float):
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 codes = _coded(seeds, text)
-                p = np.unique(seeds.hits(codes))
+                where, which = seeds.hits(codes)
+                p = np.unique(which)
                 if not len(p):
                     continue
                 items = seeds.sharing(p)
-                least = min_share * lengths[items] - 1e-6
+                least = np.minimum(min_share * lengths[items], min_words) - 1e-6
                 by_run, by_share = seeds.runs(items, p) >= min_run, seeds.common(items, codes) >= least
                 for k in np.flatnonzero(by_run | by_share):
                     i = int(items[k])
@@ -176,31 +187,32 @@ def _match(seeds: Seeds, min_run: int, min_share: float):
                         # a score of 2 * least over m matches spans at most 3 * m - 2 * least words of the text
                         if best_stretch(known, int(3 * len(item) - 2 * least[k])) < 2 * least[k] or common_in_order(bits(i), len(item), codes[known].tolist()) < least[k]:
                             continue
-                    score, _ = align(item, codes)
-                    share = score / (2.0 * len(item))
-                    if share < min_share and not by_run[k]:
+                    score = align_at(item, codes, where[np.isin(which, seeds.at[i])], seeds.n)
+                    if score < 2 * least[k] and not by_run[k]:
                         continue
                     run = longest_run(item, codes)
-                    if run >= min_run or share >= min_share:
-                        rows.append((doc, seeds.ids[i], run, score, share))
+                    if run >= min_run or score >= 2 * least[k]:
+                        rows.append((doc, seeds.ids[i], run, score, score / (2.0 * len(item))))
             types = (b.schema.field(0).type, pa.int64(), pa.int32(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(5)], names=["doc", "item", "run", "score", "share"])
 
     return match
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_run: int = 12, n: int = 5, min_share: float = 0.5, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "item_text", min_run: int = 12, n: int = 5, min_share: float = 0.5, min_words: int = 30, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc, item, run, score, share): every document with a passage of a test item.
 
     `run` is the longest sequence of consecutive words they share, `score` that of the best local alignment (2 a match, -1
-    a mismatch or gap), `share` the score divided by that of the whole item. A pair is given if run >= min_run, or share >=
-    min_share: an edited or paraphrased copy.
+    a mismatch or gap), `share` the score divided by that of the whole item. A pair is given if run >= min_run, or if the aligned
+    stretch is worth min_share of the item or min_words words, whichever is less: an edited or paraphrased copy of all
+    of an item or of a part.
 
     Items come in blocks of a fixed number, and each block is held against all documents: the corpus is read once a block
     and never shuffled. Every n-gram of an item is a seed, however many documents have it: all pairs that share one are
     judged, so no shared run of min_run words is missed, and of edited copies only those that keep no n words in a row. A
     pair is left unaligned only if its longest stretch of shared n-grams rules out min_run, and the words shared, those
-    close together or those in order rule out min_share; as these are bounds from above, nothing is lost by them.
+    close together or those in order rule out the score; as these are bounds from above, nothing is lost by them. Alignments are
+    made around the seeds, as far as any alignment over a seed can reach.
 
     Null ids give no rows; null and empty texts hold nothing; items without n words in a row are never found; items that
     repeat an id count each, and documents that repeat a row give one row. Empty in, empty out."""
@@ -215,5 +227,5 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         seeds = Seeds(sorted(((r.i, r.t or "") for r in part.collect())), n)
         if not len(seeds.table):
             continue
-        found = found.unionByName(corpus.mapInArrow(_match(seeds, min_run, min_share), schema))
+        found = found.unionByName(corpus.mapInArrow(_match(seeds, min_run, min_share, min_words), schema))
     return found.groupBy("doc", "item").agg(F.max("run").alias("run"), F.max("score").alias("score"), F.max("share").alias("share"))

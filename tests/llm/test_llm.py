@@ -383,12 +383,48 @@ def test_bounds_leave_out_no_leak(spark):
     for d, t in docs:
         for i, x in items:
             run, share = contamination.longest_run(code(x), code(t)), contamination.align(code(x), code(t))[0] / (2 * len(x.split()))
-            if grams(t) & grams(x) and (run >= 12 or share >= 0.5):
+            if grams(t) & grams(x) and (run >= 12 or share >= min(0.5, 30 / len(x.split()))):
                 want[d, i] = (run, pytest.approx(share))
     got = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()
     assert {(r.doc, r.item): (r.run, r.share) for r in got} == want and len(want) > 60
 
 
+def test_recall_of_edited_copies(spark):
+    rnd = random.Random(28)
+    vocab = ["".join(rnd.choices("abcdeilmnorstuv", k=rnd.randrange(2, 9))) for _ in range(3000)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.randrange(40, 120)))) for i in range(40)]
+
+    def edited(words, rate):
+        out = []
+        for w in words:
+            x = rnd.random()
+            out += [] if x < rate / 3 else [rnd.choice(vocab)] if x < 2 * rate / 3 else [w, rnd.choice(vocab)] if x < rate else [w]
+        return out
+
+    planted, docs = {}, []
+    for d in range(400):
+        i, rate, whole = rnd.randrange(40), rnd.choice([0.05, 0.1, 0.15]), rnd.random() < 0.5
+        w = items[i][1].split()
+        part = w if whole else w[(k := rnd.randrange(len(w) - 38)) : k + max(38, len(w) // 2)]
+        docs.append((d, " ".join(rnd.choices(vocab, k=100) + edited(part, rate) + rnd.choices(vocab, k=100))))
+        planted[d] = (i, rate)
+    got = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()
+    pairs = {(r.doc, r.item) for r in got}
+    for rate in (0.05, 0.1, 0.15):
+        own = [d for d in planted if planted[d][1] == rate]
+        assert np.mean([(d, planted[d][0]) in pairs for d in own]) >= 0.9, rate
+    assert pairs <= {(d, i) for d, (i, _) in planted.items()}
+
+
+def test_seed_windows_lose_no_alignment():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        item = rng.integers(1, 9, 10)
+        text = np.concatenate([rng.integers(0, 9, 200), item, rng.integers(0, 9, 200), item[:6], rng.integers(0, 9, 100)])
+        places = np.array([200, 410])
+        assert contamination.align_at(item, text, places, 5) >= 20 and contamination.align_at(item, text, places, 5) <= contamination.align(item, text)[0]
+
+
 def test_alignment_against_the_textbook():
     rng = np.random.default_rng(0)
     for _ in range(30):
