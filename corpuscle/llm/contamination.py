@@ -34,6 +34,14 @@ class Seeds:
         self.first = np.searchsorted(np.sort(gram), np.arange(len(self.table) + 1))
         self.ended = [np.append(a, -1) for a in self.at]
         self.bags = [np.unique(c, return_counts=True) for c in self.codes]
+        pairs = [self.pairs_of(c) for c in self.codes]
+        self.pair_table = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
+        self.pair_at = [np.searchsorted(self.pair_table, g) for g in pairs]
+
+    def pairs_of(self, codes: np.ndarray) -> np.ndarray:
+        """A number for each two words in a row that items have."""
+        g = codes[:-1] * (len(self.vocab) + 1) + codes[1:]
+        return g[(codes[:-1] > 0) & (codes[1:] > 0)]
 
     def grams(self, codes: np.ndarray) -> np.ndarray:
         """A number for each run of n words, none for runs with a word that no item has."""
@@ -82,6 +90,16 @@ class Seeds:
         return np.add.reduceat(np.minimum(have[words], times), starts)
 
 
+    def in_a_row(self, items: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For each item the places where it has two words in a row that the text has too: no alignment has more of them."""
+        there = np.zeros(len(self.pair_table), bool)
+        g = self.pairs_of(codes)
+        p = np.minimum(np.searchsorted(self.pair_table, g), len(there) - 1)
+        there[p[self.pair_table[p] == g]] = True
+        starts = np.cumsum([0] + [len(self.pair_at[i]) for i in items[:-1]])
+        return np.add.reduceat(there[np.concatenate([self.pair_at[i] for i in items])].astype(np.int64), starts)
+
+
 def best_stretch(known: np.ndarray, most: int) -> int:
     """Highest sum over at most `most` words of a text in a row, 2 for one that the item has, -1 for another. An alignment over
     these words scores no more."""
@@ -143,13 +161,13 @@ def align(item: np.ndarray, text: np.ndarray, match: float = 2.0, other: float =
     return best, end
 
 
-def align_at(item: np.ndarray, text: np.ndarray, seeds: np.ndarray, n: int) -> float:
-    """Score of the best alignment near any of the places `seeds` in the text. An alignment spans at most three times as many
-    words as the item has, or its gaps would cost more than its matches earn, so no alignment over a seed is left out."""
-    reach = 3 * len(item)
-    gaps = np.flatnonzero(np.diff(seeds) > 2 * reach + n)
-    first, last = seeds[np.concatenate([[0], gaps + 1])], seeds[np.concatenate([gaps, [len(seeds) - 1]])]
-    return max(align(item, text[max(0, a - reach) : b + n + reach])[0] for a, b in zip(first, last))
+def window(own: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> tuple[int, int]:
+    """The stretch of a text that an alignment over any seed of an item can reach. `own` are the item's n-grams in order, `first`
+    and `last` where the text has each (-1: nowhere). Left of a seed at its word j an item has j words; they earn at most
+    2j, and as any part of the best alignment that begins it earns something, it spans at most 3j words; likewise on the right."""
+    j = np.flatnonzero(first[own] >= 0)
+    g = own[j]
+    return max(0, int((first[g] - 3 * j).min())), int((last[g] + n + 3 * (len(own) - 1 - j)).max())
 
 
 def _coded(seeds: Seeds, text: str | None) -> np.ndarray:
@@ -165,6 +183,7 @@ def _match(seeds: Seeds, min_run: int, min_share: float, min_words: int):
 
         bits = lru_cache(4096)(lambda i: places(seeds.codes[i]))
         mark = np.zeros(len(seeds.vocab) + 1, bool)
+        first, last = (np.full(len(seeds.table), -1, np.int64) for _ in range(2))
         lengths = np.array([len(c) for c in seeds.codes])
         for b in batches:
             rows: list[tuple] = []
@@ -176,23 +195,32 @@ def _match(seeds: Seeds, min_run: int, min_share: float, min_words: int):
                     continue
                 items = seeds.sharing(p)
                 least = np.minimum(min_share * lengths[items], min_words) - 1e-6
-                by_run, by_share = seeds.runs(items, p) >= min_run, seeds.common(items, codes) >= least
+                by_run, common = seeds.runs(items, p) >= min_run, seeds.common(items, codes)
+                # m matches in r stretches score at most 2m - r + 1, and have m - r places where two matches are in a row
+                by_share = (common >= least) & (seeds.in_a_row(items, codes) >= 2 * least - 1 - common)
+                first[which[::-1]], last[which] = where[::-1], where
                 for k in np.flatnonzero(by_run | by_share):
                     i = int(items[k])
                     item = seeds.codes[i]
+                    lo, hi = window(seeds.at[i], first, last, seeds.n)
+                    near = codes[lo:hi]
                     if not by_run[k]:
+                        own, times = seeds.bags[i]
+                        if np.minimum(np.bincount(near, minlength=len(mark))[own], times).sum() < least[k]:
+                            continue
                         mark[item] = True
-                        known = mark[codes]
+                        known = mark[near]
                         mark[item] = False
                         # a score of 2 * least over m matches spans at most 3 * m - 2 * least words of the text
-                        if best_stretch(known, int(3 * len(item) - 2 * least[k])) < 2 * least[k] or common_in_order(bits(i), len(item), codes[known].tolist()) < least[k]:
+                        if best_stretch(known, int(3 * len(item) - 2 * least[k])) < 2 * least[k] or common_in_order(bits(i), len(item), near[known].tolist()) < least[k]:
                             continue
-                    score = align_at(item, codes, where[np.isin(which, seeds.at[i])], seeds.n)
+                    score, _ = align(item, near)
                     if score < 2 * least[k] and not by_run[k]:
                         continue
-                    run = longest_run(item, codes)
+                    run = longest_run(item, near)
                     if run >= min_run or score >= 2 * least[k]:
                         rows.append((doc, seeds.ids[i], run, score, score / (2.0 * len(item))))
+                first[which], last[which] = -1, -1
             types = (b.schema.field(0).type, pa.int64(), pa.int32(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(5)], names=["doc", "item", "run", "score", "share"])
 
@@ -210,8 +238,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Items come in blocks of a fixed number, and each block is held against all documents: the corpus is read once a block
     and never shuffled. Every n-gram of an item is a seed, however many documents have it: all pairs that share one are
     judged, so no shared run of min_run words is missed, and of edited copies only those that keep no n words in a row. A
-    pair is left unaligned only if its longest stretch of shared n-grams rules out min_run, and the words shared, those
-    close together or those in order rule out the score; as these are bounds from above, nothing is lost by them. Alignments are
+    pair is left unaligned only if its longest stretch of shared n-grams rules out min_run, and the words shared, in
+    twos, close together or in order, rule out the score; as these are bounds from above, nothing is lost by them. Alignments are
     made around the seeds, as far as any alignment over a seed can reach.
 
     Null ids give no rows; null and empty texts hold nothing; items without n words in a row are never found; items that
