@@ -28,7 +28,8 @@ class Seeds:
         own = [self.grams(c) for c in self.codes]
         self.table = np.unique(np.concatenate([np.zeros(0, np.int64), *own]))
         self.at = [np.searchsorted(self.table, g) for g in own]
-        sets = [np.unique(a) for a in self.at]
+        sets, times = zip(*(np.unique(a, return_counts=True) for a in self.at)) if self.at else ((), ())
+        self.repeats = np.array([t.max(initial=0) for t in times], np.int64)
         gram, item = np.concatenate([np.zeros(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), [len(a) for a in sets])
         self.owners = item[np.argsort(gram, kind="stable")]
         self.first = np.searchsorted(np.sort(gram), np.arange(len(self.table) + 1))
@@ -66,14 +67,17 @@ class Seeds:
         there = self.table[p] == g[at]
         return at[there], p[there]
 
-    def sharing(self, p: np.ndarray) -> np.ndarray:
-        """The items that have any of the n-grams at the positions p of `table`, ascending."""
+    def sharing(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items that have any of the n-grams at the positions p of `table`, ascending, and how many they have at most."""
         size = self.first[p + 1] - self.first[p]
-        return np.unique(self.owners[np.repeat(self.first[p] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        items, n = np.unique(self.owners[np.repeat(self.first[p] - np.cumsum(size) + size, size) + np.arange(size.sum())], return_counts=True)
+        return items, n * self.repeats[items]
 
     def runs(self, items: np.ndarray, p: np.ndarray) -> np.ndarray:
         """For each item at least the length of the longest run of words that it shares with the text whose n-grams are p:
         its longest stretch of n-grams that are all there, in words."""
+        if not len(items):
+            return np.zeros(0, np.int64)
         there = np.zeros(len(self.table) + 1, bool)
         there[p] = True
         seq = there[np.concatenate([self.ended[i] for i in items])]  # the last is never there: items end
@@ -151,7 +155,7 @@ def align(item: np.ndarray, text: np.ndarray, match: float = 2.0, other: float =
     prev, slope = np.zeros(m + 1), gap * np.arange(m + 1)
     best, end = 0.0, -1
     for w in item:
-        cur = np.maximum(0.0, np.maximum(prev - gap, 0))
+        cur = np.maximum(prev - gap, 0.0)
         cur[1:] = np.maximum(cur[1:], prev[:-1] + np.where(text == w, match, other))
         cur = np.maximum.accumulate(cur + slope) - slope
         k = int(cur.argmax())
@@ -193,11 +197,13 @@ def _match(seeds: Seeds, min_run: int, min_share: float, min_words: int):
                 p = np.unique(which)
                 if not len(p):
                     continue
-                items = seeds.sharing(p)
+                items, held = seeds.sharing(p)
                 least = np.minimum(min_share * lengths[items], min_words) - 1e-6
-                by_run, common = seeds.runs(items, p) >= min_run, seeds.common(items, codes)
+                by_run, common = held >= min_run - seeds.n + 1, seeds.common(items, codes)
+                by_run[by_run] = seeds.runs(items[by_run], p) >= min_run
                 # m matches in r stretches score at most 2m - r + 1, and have m - r places where two matches are in a row
-                by_share = (common >= least) & (seeds.in_a_row(items, codes) >= 2 * least - 1 - common)
+                twos = seeds.in_a_row(items, codes)
+                by_share = (common >= least) & (twos >= 2 * least - 1 - common)
                 first[which[::-1]], last[which] = where[::-1], where
                 for k in np.flatnonzero(by_run | by_share):
                     i = int(items[k])
@@ -206,7 +212,8 @@ def _match(seeds: Seeds, min_run: int, min_share: float, min_words: int):
                     near = codes[lo:hi]
                     if not by_run[k]:
                         own, times = seeds.bags[i]
-                        if np.minimum(np.bincount(near, minlength=len(mark))[own], times).sum() < least[k]:
+                        m = np.minimum(np.bincount(near, minlength=len(mark))[own], times).sum()
+                        if m < least[k] or twos[k] < 2 * least[k] - 1 - m:
                             continue
                         mark[item] = True
                         known = mark[near]
