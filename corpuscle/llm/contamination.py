@@ -147,22 +147,27 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def align(item: np.ndarray, text: np.ndarray, match: float = 2.0, other: float = -1.0, gap: float = 1.0) -> tuple[float, int]:
-    """Smith-Waterman score of the best local alignment of two coded texts, and where in `text` it ends.
+def align(item: np.ndarray, text: np.ndarray, match: int = 2, other: int = -1, gap: int = 1) -> float:
+    """Smith-Waterman score of the best local alignment of two coded texts.
 
-    Rows are words of the item. Gaps along the text are taken in by a running maximum, so a row is a few vector steps."""
+    Rows are words of the item. Gaps along the text are taken in by a running maximum, so a row is a few vector steps in place."""
     m = len(text)
-    prev, slope = np.zeros(m + 1), gap * np.arange(m + 1)
-    best, end = 0.0, -1
-    for w in item:
-        cur = np.maximum(prev - gap, 0.0)
-        cur[1:] = np.maximum(cur[1:], prev[:-1] + np.where(text == w, match, other))
-        cur = np.maximum.accumulate(cur + slope) - slope
-        k = int(cur.argmax())
-        if cur[k] > best + 1e-9:
-            best, end = float(cur[k]), k - 1
-        prev = cur
-    return best, end
+    slope = gap * np.arange(m + 1, dtype=np.int32)
+    prev, cur, top = (np.zeros(m + 1, np.int32) for _ in range(3))
+    text, scores = text.astype(np.int32), {}
+    for w in item.tolist():
+        row = scores.get(w)
+        if row is None:
+            row = scores[w] = (text == w) * np.int32(match - other) + np.int32(other)
+        np.subtract(prev, gap, out=cur)
+        np.maximum(cur[1:], prev[:-1] + row, out=cur[1:])
+        np.maximum(cur, 0, out=cur)
+        cur += slope
+        np.maximum.accumulate(cur, out=cur)
+        cur -= slope
+        np.maximum(top, cur, out=top)
+        prev, cur = cur, prev
+    return float(top.max())
 
 
 def window(own: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> tuple[int, int]:
@@ -221,7 +226,7 @@ def _match(seeds: Seeds, min_run: int, min_share: float, min_words: int):
                         # a score of 2 * least over m matches spans at most 3 * m - 2 * least words of the text
                         if best_stretch(known, int(3 * len(item) - 2 * least[k])) < 2 * least[k] or common_in_order(bits(i), len(item), near[known].tolist()) < least[k]:
                             continue
-                    score, _ = align(item, near)
+                    score = align(item, near)
                     if score < 2 * least[k] and not by_run[k]:
                         continue
                     run = longest_run(item, near)

@@ -382,7 +382,7 @@ def test_bounds_leave_out_no_leak(spark):
     want = {}
     for d, t in docs:
         for i, x in items:
-            run, share = contamination.longest_run(code(x), code(t)), contamination.align(code(x), code(t))[0] / (2 * len(x.split()))
+            run, share = contamination.longest_run(code(x), code(t)), contamination.align(code(x), code(t)) / (2 * len(x.split()))
             if grams(t) & grams(x) and (run >= 12 or share >= min(0.5, 30 / len(x.split()))):
                 want[d, i] = (run, pytest.approx(share))
     got = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()
@@ -433,7 +433,7 @@ def test_alignment_against_the_textbook():
         for i in range(1, 13):
             for j in range(1, 31):
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
-        assert contamination.align(a, b)[0] == h.max()
+        assert contamination.align(a, b) == h.max()
 
 
 # ----------------------------------------------------------------------------------------------------- 9 mixing
