@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--sections", choices=["violation", "activity"], default=None)
     p.add_argument("--years", type=int, nargs=2, default=None)
     p.add_argument("--types", nargs="+", default=None)
+    p.add_argument("--index", default=None, help="folder that bm25 wrote")
     p = new("eval", "precision and reciprocal rank by language")
     p.add_argument("--alpha", type=float, nargs="+", default=[it.HYBRID_ALPHA])
     p.add_argument("--no-weights", action="store_true")
@@ -57,9 +58,9 @@ def main(argv: list[str] | None = None) -> None:
         chunks, twins, figures = documents.build_index(t("docs"), a.n)
         give(chunks, "chunks"), give(twins, "duplicates"), give(figures, "figures")
     elif a.cmd == "bm25":
-        give(search.bm25_postings(search.distinct_chunks(t("chunks")), stemmed=True), "postings")
+        print(search.write_index(t("chunks"), f"{a.out or a.data}/bm25"))
     elif a.cmd == "search":
-        give(search.search(t("chunks"), t("queries"), a.k, a.alpha, not a.no_weights, a.sections, tuple(a.years) if a.years else None, a.types).orderBy("query_id", "rank"), "results")
+        give(search.search(t("chunks"), t("queries"), a.k, a.alpha, not a.no_weights, a.sections, tuple(a.years) if a.years else None, a.types, postings=search.read_index(t("chunks"), a.index) if a.index else None).orderBy("query_id", "rank"), "results")
     elif a.cmd == "eval":
         for alpha in a.alpha:
             per = search.evaluate(search.search(t("chunks"), t("queries"), alpha=alpha, weighted=not a.no_weights), t("chunks"), t("queries"))

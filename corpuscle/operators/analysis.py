@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import columns as C
 from corpuscle.functions import italian as it
-from corpuscle.session import materialise
+from corpuscle.session import materialise, skew_join
 
 
 def citation_edges(docs: DataFrame, nodes: DataFrame, twins: DataFrame) -> DataFrame:
@@ -21,7 +21,10 @@ def citation_edges(docs: DataFrame, nodes: DataFrame, twins: DataFrame) -> DataF
     empty = F.array().cast("array<bigint>")
     every = F.concat(*(F.coalesce(c, empty) for c in ("cites", "see_also", "refs_in_text")))
     cited = docs.join(own.select(F.col("node").alias("docweb_id")), "docweb_id", "left_semi").select(F.col("docweb_id").alias("a"), F.explode(F.array_distinct(every)).alias("target"))
-    return cited.join(place, "target").where("a <> node").select(F.least("a", "node").alias("src"), F.greatest("a", "node").alias("dst")).distinct()
+    cited = materialise(cited, "cited")
+    # a decision that very many cite is joined where its citations are
+    held = place.join(cited.groupBy("target").agg(F.count("*").alias("held")), "target")
+    return skew_join(cited, held, ["target"], "held", cited.count()).where("a <> node").select(F.least("a", "node").alias("src"), F.greatest("a", "node").alias("dst")).distinct()
 
 
 def without_procedural(edges: DataFrame, docs: DataFrame) -> DataFrame:
@@ -105,14 +108,28 @@ def link_ranks(vectors: DataFrame, edges: DataFrame, block: int = 4096) -> DataF
     return out if out is not None else vectors.sparkSession.createDataFrame([], "src long, dst long, rank long")
 
 
-def histogram(scored: DataFrame, column: str, lo: float, hi: float, bins: int = it.HIST_BINS) -> DataFrame:
-    """(bin, density) of equal bins over [lo, hi]; the greatest value falls into the last bin."""
-    width = (hi - lo) / bins or 1.0
-    at = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("int")
-    n = scored.count()
+def histogram(scored: DataFrame, column: str, lo: float | None = None, hi: float | None = None, bins: int = it.HIST_BINS) -> DataFrame:
+    """(bin, density) of equal bins over [lo, hi], by default the range of the scores; the greatest value falls into the last bin."""
+    n, least, most = scored.agg(F.count(column), F.min(column), F.max(column)).first()
+    lo, hi = least if lo is None else lo, most if hi is None else hi
+    width = ((hi or 0.0) - (lo or 0.0)) / bins or 1.0
+    at = F.least(F.floor((F.col(column) - F.lit(lo or 0.0)) / width), F.lit(bins - 1)).cast("int")
     return scored.groupBy(at.alias("bin")).agg((F.count("*") / F.lit(max(1, n) * width)).alias("density"))
 
 
+def map_nodes(chunks: DataFrame) -> DataFrame:
+    """(docweb_id, title, date, types, topics, similar_count, first_chunk): a document as the map shows it, by its first chunk; of the
+    topics the first three."""
+    first = F.min_by(F.struct("title", "date", "tipologia", "argomenti", "similar_count", "chunk_id"), "chunk_index").alias("x")
+    one = chunks.where("docweb_id is not null and chunk_index is not null").groupBy("docweb_id").agg(first)
+    return one.select("docweb_id", "x.title", "x.date", F.array_join("x.tipologia", ", ").alias("types"), F.array_join(F.slice("x.argomenti", 1, 3), ", ").alias("topics"), "x.similar_count", F.col("x.chunk_id").alias("first_chunk"))
+
+
+def text_size(rows: DataFrame, name: str, column: str) -> DataFrame:
+    """(name, n, mb): rows, and megabytes of a text column."""
+    return rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.round(F.sum(F.octet_length(column)) / 1e6, 3).alias("mb"))
+
+
 def pca_2d(vectors: DataFrame, dim: int = 64) -> tuple[DataFrame, DataFrame]:
     """(coordinates (docweb_id, x, y), one row (var_pc1, var_pc2, var_2d)): principal components of the centred vectors.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import columns as C
@@ -110,6 +110,35 @@ def write_families(twins: DataFrame, path: str) -> None:
     g.select(F.to_json(F.create_map(F.col("docweb_id").cast("string"), "t")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Raw pages (docweb_id, html) compressed by gzip, in parts of many pages; each row keeps its id."""
+    pages.select("docweb_id", "html").write.mode("overwrite").option("compression", "gzip").parquet(path)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of all data files below a folder. Files are hashed where they are read, part files being bounded by what
+    one task writes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    root = path.rstrip("/")
+    name = F.substring_index("path", f"{root}/", -1)
+    return files.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_search_index(chunks: DataFrame, path: str, ident: str) -> DataFrame:
+    """The index that a search service loads: chunks with codes for decisions, sections and types, the values of the codes, vectors by
+    file, and a manifest with a hash of each file, written last; gives the manifest."""
+    spark, root = chunks.sparkSession, f"{path.rstrip('/')}/{ident}"
+    one = chunks.dropDuplicates(["chunk_id"])
+    coded_chunks(one).write.mode("overwrite").parquet(f"{root}/chunks")
+    codes(one, "section").write.mode("overwrite").parquet(f"{root}/sections")
+    codes(one.select(F.explode("tipologia").alias("type")), "type").write.mode("overwrite").parquet(f"{root}/types")
+    dense_codes(one, "docweb_id").write.mode("overwrite").parquet(f"{root}/decisions")
+    vectors_by_file(one, F.col("chunk_id")).write.mode("overwrite").partitionBy("part").parquet(f"{root}/vectors")
+    out = manifest(spark, root)
+    out.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+    return spark.read.schema("file string, bytes long, sha256 string").json(f"{root}/manifest")
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
     """Truncate and reload a database table, keeping its definition. Structs go as JSON."""
     flat = df.select(*(F.to_json(c).alias(c) if "struct" in t else F.col(c) for c, t in df.dtypes))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import columns as C
 from corpuscle.functions import italian as it
+from corpuscle.operators.export import content_hash
 from corpuscle.session import materialise, skew_join
 
 #: Queries scored in one pass over the chunks; their vectors are what every worker holds.
@@ -67,6 +68,56 @@ def bm25_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "
     return skew_join(tf, df, ["term"], "df", total[1]).select(id_col, "term", (F.col("tf") * (it.BM25_K1 + 1) / (F.col("tf") + norm) * idf).alias("weight"))
 
 
+def write_index(chunks: DataFrame, path: str, stemmed: bool = True) -> str:
+    """Store the postings of the chunks at `path`, sorted by term (a query reads few row groups), with a hash of what they were made of;
+    gives the hash. An index of the same chunks is left as it is."""
+    one = distinct_chunks(chunks)
+    key = content_hash(one.select("chunk_id", "embed_text"), f"bm25 {'stems' if stemmed else 'forms'}")
+    if stored_key(chunks.sparkSession, path) != key:
+        bm25_postings(one, stemmed=stemmed).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        chunks.sparkSession.createDataFrame([(key, stemmed)], "key string, stemmed boolean").coalesce(1).write.mode("overwrite").json(f"{path}/key")
+    return key
+
+
+def stored_key(spark: SparkSession, path: str) -> str | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/key")
+    there = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    return spark.read.schema("key string, stemmed boolean").json(f"{path}/key").first().key if there else None
+
+
+def read_index(chunks: DataFrame, path: str, stemmed: bool = True) -> DataFrame:
+    """The stored postings (chunk_id, term, weight); an error if there are none, or if they are of other chunks."""
+    now = content_hash(distinct_chunks(chunks).select("chunk_id", "embed_text"), f"bm25 {'stems' if stemmed else 'forms'}")
+    if stored_key(chunks.sparkSession, path) != now:
+        raise ValueError(f"no keyword index of these chunks at {path}: write_index() makes one")
+    return chunks.sparkSession.read.parquet(f"{path}/postings")
+
+
+def embed(chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], model: str, path: str | None = None, text_col: str = "embed_text") -> DataFrame:
+    """(chunk_id, model, embedding): unit vectors of the chunks' texts by `encode`, which maps a batch of texts to an array and is
+    shipped to the workers. With a path, they are written below it, one folder a model, and read back."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            v = np.asarray(encode(texts), dtype=np.float32).reshape(len(texts), -1)
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(v), pa.list_(pa.float32()))], names=["chunk_id", "embedding"])
+
+    got = distinct_chunks(chunks).select("chunk_id", text_col).mapInArrow(run, "chunk_id string, embedding array<float>").withColumn("model", F.lit(model))
+    if path is None:
+        return got.select("chunk_id", "model", "embedding")
+    got.drop("model").write.mode("overwrite").parquet(f"{path}/model={model}")
+    return read_vectors(chunks.sparkSession, path, model)
+
+
+def read_vectors(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """(chunk_id, model, embedding) of one model; other models' folders are not read."""
+    return spark.read.parquet(path).where(F.col("model") == model).select("chunk_id", "model", "embedding")
+
+
 def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """(query_id, term), distinct."""
     if stemmed:
@@ -147,7 +198,7 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = it.EVAL_K, stemmed
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
-def hybrid_scores(chunks: DataFrame, queries: DataFrame, alpha: float = it.HYBRID_ALPHA, weighted: bool = True, stemmed: bool = False) -> DataFrame:
+def hybrid_scores(chunks: DataFrame, queries: DataFrame, alpha: float = it.HYBRID_ALPHA, weighted: bool = True, stemmed: bool = True, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that can be ranked: the closer of meaning and of wording.
 
     alpha 0: cosine; alpha 1: BM25 (0 without query terms); between: reciprocal ranks over all chunks, from 0, of both
@@ -158,7 +209,8 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, alpha: float = it.HYBRI
     dense = dense_scores(one, queries).join(weight, "chunk_id").select("query_id", "chunk_id", F.round(F.col("dense") * F.col("w"), 9).alias("dense"))
     if alpha <= 0:
         return dense.withColumnRenamed("dense", "score")
-    lexical = bm25_scores(bm25_postings(one, stemmed=stemmed), queries, stemmed).join(weight, "chunk_id").select("query_id", "chunk_id", F.round(F.col("lexical") * F.col("w"), 9).alias("lexical"))
+    index = bm25_postings(one, stemmed=stemmed) if postings is None else postings
+    lexical = bm25_scores(index, queries, stemmed).join(weight, "chunk_id").select("query_id", "chunk_id", F.round(F.col("lexical") * F.col("w"), 9).alias("lexical"))
     both = dense.join(lexical, ["query_id", "chunk_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
     if alpha >= 1:
         return both.select("query_id", "chunk_id", F.col("lexical").alias("score"))
@@ -169,12 +221,13 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, alpha: float = it.HYBRI
     return ranked.join(share, "query_id").select("query_id", "chunk_id", F.round(fused, 12).alias("score"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = it.EVAL_K, alpha: float = it.HYBRID_ALPHA, weighted: bool = True, scope: str | None = None, years: tuple[int, int] | None = None, types: list[str] | None = None, stemmed: bool = False) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int = it.EVAL_K, alpha: float = it.HYBRID_ALPHA, weighted: bool = True, scope: str | None = None, years: tuple[int, int] | None = None, types: list[str] | None = None, stemmed: bool = True, postings: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query, with their best chunk and their best passages on activity and violation.
 
     (query_id, rank, docweb_id, score, chunk_id, activity_score, activity_chunk, violation_score, violation_chunk). Scope, years
-    (inclusive, no date counting as year 0) and types are applied after ranking, so they never change a chunk's score."""
-    scores = hybrid_scores(chunks, queries, alpha, weighted, stemmed)
+    (inclusive, no date counting as year 0) and types are applied after ranking, so they never change a chunk's score. `postings` are
+    those of read_index(), else they are made. Words are Italian stems unless stemmed=False."""
+    scores = hybrid_scores(chunks, queries, alpha, weighted, stemmed, postings)
     c = distinct_chunks(chunks).select("chunk_id", "docweb_id", "section", "tipologia", "date")
     keep = C.in_scope(scope, F.col("section"), F.col("tipologia"))
     if years is not None:

@@ -74,6 +74,16 @@ def next_page(pages: DataFrame, order_dir: str) -> int:
     return int(pages.where(F.col("order_dir") == order_dir).agg(F.coalesce(F.max("page"), F.lit(0)) + 1).first()[0])
 
 
+def until_known(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """(page, new): the pages of a listing (page, docweb_id), newest first, up to the first without an id that isn't `known`: there an
+    incremental sync stops."""
+    ids = listing.where("docweb_id is not null").select("page", "docweb_id")
+    seen = known.select("docweb_id").where("docweb_id is not null").distinct().withColumn("seen", F.lit(True))
+    pages = ids.join(seen, "docweb_id", "left").groupBy("page").agg(F.count_if(F.col("seen").isNull()).alias("new"))
+    stop = pages.where("new = 0").agg(F.min("page").alias("stop"))  # one row
+    return pages.join(F.broadcast(stop)).where("stop is null or page <= stop").select("page", "new")
+
+
 def edited(state: DataFrame, parsed: DataFrame) -> DataFrame:
     """(docweb_id) whose body changed, by the hash of the text and not of the page."""
     p = parsed.select("docweb_id", F.col("body_sha256").alias("now")).dropDuplicates(["docweb_id"])

@@ -12,7 +12,7 @@ from corpuscle.functions import columns as C
 from corpuscle.functions import italian as it
 from corpuscle.operators import analysis, documents, export, search, state
 from corpuscle.operators.incremental import replay
-from corpuscle.session import materialise
+from corpuscle.session import materialise, shared_dir
 from corpuscle.sources.tables import table
 
 QUERIES: dict = {}
@@ -72,7 +72,7 @@ def _top_docs(mask: str = "TRUE") -> str:
 
 @query(f"WITH {_SCORES}, {_BOTH}, {_top_docs()} SELECT * FROM res")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(table(spark, d, "chunks"), table(spark, d, "queries"))
+    return search.search(table(spark, d, "chunks"), table(spark, d, "queries"), stemmed=False)
 
 
 _CASES = ", ".join(f"'{c}'" for c in it.CASE_TYPES)
@@ -82,7 +82,7 @@ _MASK = f"{_ROLE} = 'violation' AND list_has_any(tipologia, [{_CASES}]) AND coal
 @query(f"WITH {_SCORES}, {_BOTH}, {_top_docs(_MASK)} SELECT * FROM res")
 def search_masked(spark: SparkSession, d: str) -> DataFrame:
     """Scope, years and types are applied after ranking."""
-    return search.search(table(spark, d, "chunks"), table(spark, d, "queries"), scope="violation", years=(2010, 2024), types=["Decisione su ricorso", "Ordinanza ingiunzione o revoca"])
+    return search.search(table(spark, d, "chunks"), table(spark, d, "queries"), scope="violation", years=(2010, 2024), types=["Decisione su ricorso", "Ordinanza ingiunzione o revoca"], stemmed=False)
 
 
 @query(f"WITH {_SCORES}, s AS (SELECT query_id, chunk_id, round(den.s * w, 9) AS score FROM den JOIN one USING (chunk_id)), {_top_docs()} SELECT * FROM res")
@@ -92,13 +92,15 @@ def search_dense_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SCORES}, s AS (SELECT den.query_id, chunk_id, coalesce(round(lex.s * w, 9), 0) AS score FROM den JOIN one USING (chunk_id) LEFT JOIN lex USING (query_id, chunk_id)), {_top_docs()} SELECT * FROM res")
 def search_keywords_only(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(table(spark, d, "chunks"), table(spark, d, "queries"), alpha=1.0)
+    return search.search(table(spark, d, "chunks"), table(spark, d, "queries"), alpha=1.0, stemmed=False)
 
 
 @query()
 def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    """As hybrid_search, with Italian stems; no SQL, as there is no stemmer in it."""
-    return search.search(table(spark, d, "chunks"), table(spark, d, "queries"), stemmed=True)
+    """As hybrid_search, with Italian stems, which is the default, on a stored index; no SQL, as there is no stemmer in it."""
+    chunks, path = table(spark, d, "chunks"), f"{shared_dir(spark)}/indexes/{d.strip('/').replace('/', '_')}"
+    search.write_index(chunks, path)
+    return search.search(chunks, table(spark, d, "queries"), postings=search.read_index(chunks, path))
 
 
 @query(f"WITH {_TF} SELECT chunk_id, term, tf, len FROM tf JOIN ln USING (chunk_id)")
@@ -138,7 +140,7 @@ _EVAL = f"""WITH {_SCORES}, {_BOTH}, {_top_docs()},
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     c, q = table(spark, d, "chunks"), table(spark, d, "queries")
-    return search.evaluate(search.search(c, q), c, q)
+    return search.evaluate(search.search(c, q, stemmed=False), c, q)
 
 
 @query(f"{_EVAL} SELECT query_id, lang, precision, round(rr, 6) AS rr FROM ev")
@@ -175,6 +177,17 @@ def reject_reason_counts(spark: SparkSession, d: str) -> DataFrame:
     return documents.select_documents(table(spark, d, "docs")).groupBy("verdict").agg(F.count("*").alias("docs"))
 
 
+@query(
+    f"""WITH r AS (SELECT *, {_REASON} AS reason FROM docs), w AS (SELECT *, row_number() OVER (PARTITION BY reason, coalesce(body_sha256, 'id' || docweb_id) ORDER BY date DESC NULLS LAST, docweb_id DESC) AS n FROM r),
+      v AS (SELECT docweb_id, coalesce(date, '') AS day, coalesce(reason, CASE WHEN n = 1 THEN 'keep' ELSE 'duplicate_body' END) AS verdict FROM w),
+      e AS (SELECT day, docweb_id FROM v WHERE verdict = 'keep' ORDER BY day DESC, docweb_id DESC LIMIT 200), edge AS (SELECT min((day, docweb_id)) AS x FROM e)
+      SELECT verdict, count(*) AS docs FROM v, edge WHERE (day, v.docweb_id) >= x GROUP BY verdict"""
+)
+def first_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The verdicts up to the two hundredth document kept, newest first; what comes after it isn't looked at."""
+    return documents.select_documents(table(spark, d, "docs"), 200, language=False).groupBy("verdict").agg(F.count("*").alias("docs"))
+
+
 @query("SELECT body_sha256, max((coalesce(date, ''), docweb_id))[2] AS docweb_id, count(*) AS copies FROM docs WHERE body_sha256 IS NOT NULL GROUP BY body_sha256")
 def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "docs").where("body_sha256 is not null").groupBy("body_sha256")
@@ -433,6 +446,41 @@ def embedding_map(spark: SparkSession, d: str) -> DataFrame:
     return analysis.pca_2d(analysis.doc_vectors(table(spark, d, "chunks")))[0]
 
 
+@query(
+    f"""WITH {_LINKED}, ways AS (SELECT src, dst, round(cosine, 9) AS c FROM linked UNION ALL SELECT dst, src, round(cosine, 9) FROM linked),
+      ranks AS (SELECT w.src, w.dst, 1 + count(*) FILTER (y.docweb_id <> w.src AND round(list_inner_product(x.s, y.s) / x.l / y.l, 9) > w.c) AS rank FROM ways w JOIN vec x ON x.docweb_id = w.src, vec y GROUP BY w.src, w.dst)
+      SELECT round((SELECT avg((rank <= 10)::DOUBLE) FROM ranks), 6) AS recall10, (SELECT median(rank) FROM ranks)::DOUBLE AS median_rank, round((SELECT median(cosine) FROM linked), 5) AS median_linked"""
+)
+def link_closeness(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of the graph that need no random pairs."""
+    v, e = materialise(analysis.doc_vectors(table(spark, d, "chunks")), "vec"), materialise(_edges(spark, d), "edges")
+    near = analysis.link_ranks(v, e).agg(F.round(F.avg((F.col("rank") <= 10).cast("double")), 6).alias("recall10"), F.median("rank").cast("double").alias("median_rank"))
+    return near.join(analysis.linked_cosines(v, e).agg(F.round(F.median("cosine"), 5).alias("median_linked")))
+
+
+@query(
+    """WITH one AS (SELECT docweb_id, arg_min(struct_pack(t := title, d := date, ty := tipologia, ar := argomenti, s := similar_count, c := chunk_id), chunk_index) AS x FROM chunks WHERE docweb_id IS NOT NULL AND chunk_index IS NOT NULL GROUP BY docweb_id)
+      SELECT docweb_id, x.t AS title, x.d AS date, array_to_string(x.ty, ', ') AS types, array_to_string(x.ar[1:3], ', ') AS topics, x.s AS similar_count, x.c AS first_chunk FROM one"""
+)
+def map_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.map_nodes(table(spark, d, "chunks"))
+
+
+@query(
+    f"""WITH {_LINKED}, lim AS (SELECT min(cosine) AS lo, max(cosine) AS hi FROM linked), b AS (SELECT least(39, floor((cosine - lo) / ((hi - lo) / 40)))::INTEGER AS bin, (hi - lo) / 40 AS w FROM linked, lim)
+      SELECT bin, round(count(*) / ((SELECT count(*) FROM b) * any_value(w)), 4) AS density FROM b GROUP BY bin"""
+)
+def joint_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Bins over the range of the scores themselves."""
+    s = materialise(analysis.linked_cosines(analysis.doc_vectors(table(spark, d, "chunks")), _edges(spark, d)), "linked")
+    return analysis.histogram(s, "cosine").withColumn("density", F.round("density", 4))
+
+
+@query("SELECT 'docs' AS name, count(*) AS n, round(sum(strlen(body)) / 1e6, 3) AS mb FROM docs UNION ALL SELECT 'chunks', count(*), round(sum(strlen(text)) / 1e6, 3) FROM chunks")
+def text_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.text_size(table(spark, d, "docs"), "docs", "body").unionByName(analysis.text_size(table(spark, d, "chunks"), "chunks", "text"))
+
+
 # ------------------------------------------------------------------------------------------------- state, export
 
 _STATE = """st AS (SELECT docweb_id, arg_max(struct_pack(title, list_date, tipologia, argomenti, listing_text, fetch_status, fetched_at, raw_sha256), (written_at, log_id)) AS s, min(first_seen) AS first_seen FROM docs_state WHERE docweb_id IS NOT NULL GROUP BY docweb_id)"""
@@ -474,6 +522,17 @@ def unknown_ids(spark: SparkSession, d: str) -> DataFrame:
     return state.unknown_ids(cited, docs, table(spark, d, "docs_state")).select("docweb_id")
 
 
+@query(
+    """WITH p AS (SELECT log_id // 40 AS page, docweb_id FROM docs_state WHERE docweb_id IS NOT NULL), known AS (SELECT docweb_id FROM docs_state WHERE written_at < TIMESTAMPTZ '2023-01-01 00:00:00+00' AND docweb_id IS NOT NULL),
+      c AS (SELECT page, count(*) FILTER (docweb_id NOT IN (SELECT docweb_id FROM known)) AS new FROM p GROUP BY page), stop AS (SELECT min(page) AS page FROM c WHERE new = 0)
+      SELECT c.page, new FROM c, stop WHERE c.page <= coalesce(stop.page, c.page)"""
+)
+def listing_until_known(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a listing up to the first that brings nothing new."""
+    log = table(spark, d, "docs_state")
+    return state.until_known(log.withColumn("page", F.floor(F.col("log_id") / 40)), log.where(F.col("written_at") < F.to_timestamp(F.lit("2023-01-01 00:00:00+00:00"))))
+
+
 @query("SELECT DISTINCT docweb_id FROM chunks WHERE docweb_id IS NOT NULL AND docweb_id NOT IN (SELECT docweb_id FROM docs WHERE docweb_id IS NOT NULL)")
 def missing_documents(spark: SparkSession, d: str) -> DataFrame:
     return export.missing_documents(table(spark, d, "docs"), table(spark, d, "chunks"))

@@ -266,3 +266,56 @@ def test_pairs_of_a_hot_key(spark):
     for cell in (2000, 7):
         got = [tuple(r) for r in pairs_within(df, ["key"], extra=["n"], cell=cell).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_stored_index(spark, tmp_path):
+    c, q, path = chunks(spark), queries(spark), str(tmp_path / "index")
+    with pytest.raises(ValueError, match="write_index"):
+        search.read_index(c, path)
+    key = search.write_index(c, path)
+    assert search.write_index(c, path) == key == search.stored_key(spark, path)
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert rows(search.search(c, q, postings=search.read_index(c, path))) == rows(search.search(c, q))
+    with pytest.raises(ValueError):
+        search.read_index(c.where("chunk_id <> '1_000'"), path)
+    with pytest.raises(ValueError):
+        search.read_index(c, path, stemmed=False)
+
+
+def test_embedding_hook(spark, tmp_path):
+    def encode(texts):
+        return [[len(t), 1.0] for t in texts]
+
+    got = {r.chunk_id: r.embedding for r in search.embed(chunks(spark), encode, "lengths", str(tmp_path)).collect()}
+    assert set(got) == {"1_000", "1_001", "2_000", "3_000", "4_000"} and got["3_000"] == [0.0, 1.0]
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in got.values())
+    search.embed(chunks(spark), lambda t: [[1.0]] * len(t), "ones", str(tmp_path))
+    assert search.read_vectors(spark, str(tmp_path), "lengths").first().model == "lengths" and search.read_vectors(spark, str(tmp_path), "ones").count() == 5
+
+
+def test_search_index_with_manifest(spark, tmp_path):
+    import hashlib
+
+    files = export.write_search_index(chunks(spark), str(tmp_path), "abc").collect()
+    assert {f.file.split("/")[0] for f in files} >= {"chunks", "sections", "types", "decisions", "vectors"}
+    for f in files:
+        data = (tmp_path / "abc" / f.file).read_bytes()
+        assert len(data) == f.bytes and hashlib.sha256(data).hexdigest() == f.sha256
+    types = {r.value: r.code for r in spark.read.parquet(str(tmp_path / "abc/types")).collect()}
+    assert types == {"Parere": 0, "Provvedimenti": 1}
+    export.write_pages(spark.createDataFrame([(1, "<p>a</p>")], "docweb_id long, html string"), str(tmp_path / "pages"))
+    assert spark.read.parquet(str(tmp_path / "pages")).first().html == "<p>a</p>"
+
+
+def test_rules_of_procedure_and_missing_documents(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    d = spark.createDataFrame([(1, ["Regolamento del Garante"]), (2, ["Parere"]), (3, None), (4, [])], "docweb_id long, tipologia array<string>")
+    assert sorted(tuple(r) for r in analysis.without_procedural(e, d).collect()) == [(2, 3), (3, 4)]
+    assert [r.docweb_id for r in export.missing_documents(d, spark.createDataFrame([(1,), (9,), (9,), (None,)], "docweb_id long")).collect()] == [9]
+
+
+def test_listing_stops_where_all_is_known(spark):
+    listing = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (2, 3), (3, 3), (3, 4), (4, 13), (2, None)], "page int, docweb_id long")
+    known = spark.createDataFrame([(3,), (4,), (None,)], "docweb_id long")
+    assert sorted(tuple(r) for r in state.until_known(listing, known).collect()) == [(1, 2), (2, 1), (3, 0)]
+    assert state.until_known(listing.where("page < 3"), known).count() == 2 and state.until_known(listing.limit(0), known).count() == 0
