@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import columns as C
 from corpuscle.functions import italian as it
 from corpuscle.operators.export import content_hash
-from corpuscle.session import materialise, skew_join
+from corpuscle.session import materialise, skew_join, small
 
 #: Queries scored in one pass over the chunks; their vectors are what every worker holds.
 BLOCK_QUERIES = 2_000
@@ -206,19 +206,34 @@ def hybrid_scores(chunks: DataFrame, queries: DataFrame, alpha: float = it.HYBRI
     chunk_id. Ranks are within a query; scores are rounded to nine places before ranking."""
     one = distinct_chunks(chunks)
     weight = one.select("chunk_id", (F.coalesce("weight", F.lit(1.0)) if weighted else F.lit(1.0)).alias("w"))
-    dense = dense_scores(one, queries).join(weight, "chunk_id").select("query_id", "chunk_id", F.round(F.col("dense") * F.col("w"), 9).alias("dense"))
+    dense = materialise(dense_scores(one, queries).join(weight, "chunk_id").select("query_id", "chunk_id", F.round(F.col("dense") * F.col("w"), 9).alias("dense")), "dense")
     if alpha <= 0:
         return dense.withColumnRenamed("dense", "score")
     index = bm25_postings(one, stemmed=stemmed) if postings is None else postings
     lexical = bm25_scores(index, queries, stemmed).join(weight, "chunk_id").select("query_id", "chunk_id", F.round(F.col("lexical") * F.col("w"), 9).alias("lexical"))
-    both = dense.join(lexical, ["query_id", "chunk_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
     if alpha >= 1:
-        return both.select("query_id", "chunk_id", F.col("lexical").alias("score"))
-    rank = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "chunk_id")) - 1
-    ranked = both.withColumn("rd", rank("dense")).withColumn("rl", rank("lexical"))
+        both = dense.join(lexical, ["query_id", "chunk_id"], "left")
+        return both.select("query_id", "chunk_id", F.coalesce("lexical", F.lit(0.0)).alias("score"))
     share = queries.select("query_id", C.effective_alpha(F.col("query"), alpha).alias("a")).dropDuplicates(["query_id"])
-    fused = (1 - F.col("a")) / (it.RRF_K + F.col("rd")) + F.when(F.col("lexical") > 0, F.col("a") / (it.RRF_K + F.col("rl"))).otherwise(0.0)
-    return ranked.join(share, "query_id").select("query_id", "chunk_id", F.round(fused, 12).alias("score"))
+    rd = score_ranks(dense, "dense", 256).withColumnRenamed("rank", "rd")
+    # only chunks with a query term have a keyword part, so only these are ranked by it; chunks without vector are in no ranking
+    own = lexical.where("lexical > 0").join(dense.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    rl = score_ranks(own, "lexical", 16).select("query_id", "chunk_id", F.col("rank").alias("rl"))
+    ranked = rd.join(rl, ["query_id", "chunk_id"], "left").join(small(share), "query_id")
+    fused = (1 - F.col("a")) / (it.RRF_K + F.col("rd")) + F.coalesce(F.col("a") / (it.RRF_K + F.col("rl")), F.lit(0.0))
+    return ranked.select("query_id", "chunk_id", F.round(fused, 12).alias("score"))
+
+
+def score_ranks(scores: DataFrame, column: str, per_unit: int) -> DataFrame:
+    """`scores` (query_id, chunk_id, a score) with `rank` from 0 within the query, by score descending, then chunk_id.
+
+    A query's rows are cut into ranges of the score, `per_unit` in each unit of it; a range is ranked by its own task, and the rows in
+    higher ranges are added, so no task sorts all chunks of a query. The counts are partitioned like the rows they are joined to."""
+    cut = scores.withColumn("part", F.floor(F.col(column) * per_unit))
+    above = Window.partitionBy("query_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("query_id", "part").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc(column), "chunk_id")) - 1
+    return cut.join(counts, ["query_id", "part"]).withColumn("rank", inside + F.col("above")).drop("part", "above")
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = it.EVAL_K, alpha: float = it.HYBRID_ALPHA, weighted: bool = True, scope: str | None = None, years: tuple[int, int] | None = None, types: list[str] | None = None, stemmed: bool = True, postings: DataFrame | None = None) -> DataFrame:
