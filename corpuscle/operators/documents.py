@@ -12,7 +12,7 @@ from corpuscle.functions import columns as C
 from corpuscle.functions import italian as it
 from corpuscle.functions import segment
 from corpuscle.operators.components import connected_components
-from corpuscle.session import materialise, pairs_within, small
+from corpuscle.session import materialise, pairs_within, small, spread
 
 
 def newest() -> list[Column]:
@@ -70,7 +70,7 @@ def _outline(body: str | None, title: str | None) -> dict:
 
 def outlines(docs: DataFrame) -> DataFrame:
     """The documents (META, and `tag`, a number of the row) with `reason` and their paragraphs `p`, cut once for all later steps."""
-    base = docs.withColumn("tag", F.monotonically_increasing_id()).withColumn("body", F.coalesce("body", F.lit(""))).withColumn("body_chars", F.coalesce("body_chars", F.lit(0)))
+    base = spread(docs).withColumn("tag", F.monotonically_increasing_id()).withColumn("body", F.coalesce("body", F.lit(""))).withColumn("body_chars", F.coalesce("body_chars", F.lit(0)))
     base = base.withColumn("early", reject_reason(F.col("body"), F.col("body_chars")))
     cut = arrow_map(base, ["body", "title"], _outline, f"native_chars int, p {_PARAGRAPHS}", [*(c for c in META if c in base.columns), "tag", "early"])
     return cut.withColumn("reason", F.coalesce("early", F.when(F.col("native_chars") < it.MIN_BODY_CHARS, "english"))).drop("early", "native_chars", "error")
@@ -188,7 +188,7 @@ def families(docs: DataFrame, threshold: float = it.DUP_JACCARD) -> DataFrame:
     other, each pair once however many buckets it shares. A pair must first pass two exact tests that need no sets: sizes in
     proportion, and parity maps that differ in no more bits than the sets may in elements. Matches of exact Jaccard at or above
     the threshold are joined to components. Documents without words are families of one."""
-    sets = shingles(docs)
+    sets = shingles(spread(docs))
     own = materialise(sets.withColumn("class", F.xxhash64(F.array_sort("s"), F.size("s"))), "sets")
     reps = own.groupBy("class").agg(F.min("id").alias("rep"))
     classes = materialise(own.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "classes")
@@ -279,7 +279,7 @@ def procedural_phrases(said: DataFrame, min_docs: int = it.BOILERPLATE_MIN_DOCS,
     out of hashed() sentences.
 
     Frequent phrases are found first, and only their rows are joined with the topics. Empty if no document has topics."""
-    of_doc = said.where("sentence_no >= 0").select("docweb_id", F.explode("ph").alias("phrase")).distinct()
+    of_doc = materialise(said.where("sentence_no >= 0").select("docweb_id", F.explode("ph").alias("phrase")).distinct(), "phrases")
     often = materialise(of_doc.groupBy("phrase").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs), "often")
     topics = said.select("docweb_id", F.array_distinct("argomenti").alias("topics")).where("size(topics) > 0").distinct()
     kept = materialise(of_doc.join(small(often), "phrase").join(topics, "docweb_id"), "tagged")
@@ -351,7 +351,7 @@ class Mined:
 
     @cached_property
     def families(self) -> DataFrame:
-        bodies = self.docs.select("docweb_id", "body", "date").join(self.kept.select("docweb_id"), "docweb_id", "left_semi")
+        bodies = spread(self.docs).select("docweb_id", "body", "date").join(small(self.kept.select("docweb_id")), "docweb_id", "left_semi")
         return materialise(families(bodies), "families")
 
     @cached_property

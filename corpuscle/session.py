@@ -64,6 +64,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan, over all cores if it has fewer partitions than these (a table of few row groups), before steps that need much CPU."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    scan = "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    return df.repartition(n) if scan and df.rdd.getNumPartitions() < n else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if a count shows that it has at most so many rows; otherwise unmarked."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

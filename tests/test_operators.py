@@ -70,8 +70,9 @@ def test_components_against_union_find(spark):
     for a, b in edges:
         if a is not None:
             parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = connected_components(spark.range(500), spark.createDataFrame(edges, "src long, dst long")).collect()
-    assert len(got) == 500 and all(r.component == find(r.id) for r in got)
+    for one_task in (200_000, 10):
+        got = connected_components(spark.range(500), spark.createDataFrame(edges, "src long, dst long"), one_task=one_task).collect()
+        assert len(got) == 500 and all(r.component == find(r.id) for r in got)
     assert connected_components(spark.range(2), spark.createDataFrame([], "src long, dst long")).count() == 2
 
 
