@@ -170,39 +170,58 @@ def minhash_bands(sets: DataFrame) -> DataFrame:
 PARITY = 16
 
 
-def _parity(batches):
+def _classes(batches):
+    """Sets of sequences with a hash that tells them apart; texts without words have none."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    for b in _sequences(batches):
+        same = pa.array([xxhash.xxh64_intdigest(x.values.to_numpy().tobytes()) - 2**63 for x in b.column(1)], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), same, b.column(1)], names=["id", "class", "s"]).filter(pc.greater(pc.list_value_length(b.column(1)), 0))
+
+
+def _marks(batches):
+    """What is known of a set without having it at hand: class, size, parity map, and the keys of its bands."""
     import numpy as np
     import pyarrow as pa
 
     size = 64 * PARITY
-    for b in batches:
-        maps = [np.packbits((np.bincount((np.asarray(s.values).view(np.uint64) % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64) for s in b.column(1)]
-        flat = pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s.values) for s in b.column(1)], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * PARITY), flat)], names=["id", "n", "m"])
+    for b in _classes(batches):
+        sets = [x.values.to_numpy().view(np.uint64) for x in b.column(2)]
+        maps = [np.packbits((np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+        keys = [k for banded in _sign([b.select([0, 2])]) for k in banded.column(2).to_numpy()]
+        lists = lambda flat, n: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n), pa.array(flat, pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), lists(np.concatenate(maps) if maps else np.zeros(0, np.int64), PARITY), lists(np.array(keys, np.int64), it.BANDS)], names=["id", "class", "n", "m", "keys"])
 
 
-def families(docs: DataFrame, threshold: float = it.DUP_JACCARD) -> DataFrame:
+def families(docs: DataFrame, threshold: float = it.DUP_JACCARD, band_rows: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(docweb_id, representative): families of near-identical documents, by their newest member.
 
     Equal sets of sequences are one class and take part once. In each bucket of a band, all classes are held against each
     other, each pair once however many buckets it shares. A pair must first pass two exact tests that need no sets: sizes in
-    proportion, and parity maps that differ in no more bits than the sets may in elements. Matches of exact Jaccard at or above
-    the threshold are joined to components. Documents without words are families of one."""
-    sets = shingles(spread(docs))
-    own = materialise(sets.withColumn("class", F.xxhash64(F.array_sort("s"), F.size("s"))), "sets")
+    proportion, and parity maps that differ in no more bits than the sets may in elements. Sets are made again for those only
+    that pass, so no set of the rest is ever moved. Matches of exact Jaccard at or above the threshold are joined to components.
+    Documents without words are families of one; an id with several texts counts by one of them. `band_rows` makes (id, n, band,
+    key) of (id, n, keys) and is there for tests."""
+    rows = spread(docs).select(F.col("docweb_id").alias("id"), "body").where("id is not null")
+    id_type = dict(rows.dtypes)["id"]
+    signed = materialise(rows.mapInArrow(_marks, f"id {id_type}, class bigint, n int, m array<bigint>, keys array<bigint>"), "signed")
+    own = materialise(signed.groupBy("id").agg(F.max("class").alias("class")), "own")
     reps = own.groupBy("class").agg(F.min("id").alias("rep"))
-    classes = materialise(own.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "classes")
-    id_type = dict(classes.dtypes)["id"]
-    maps = materialise(classes.select("id", "s").mapInArrow(_parity, f"id {id_type}, n int, m array<bigint>"), "maps")
-    bands = materialise(minhash_bands(classes).join(maps.select("id", "n"), "id"), "bands")
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1").select("band", "key")
-    bands = bands.join(shared, ["band", "key"], "left_semi")
+    one = materialise(signed.join(reps.select(F.col("rep").alias("id"), "class"), ["id", "class"], "left_semi").dropDuplicates(["id"]), "classes")
+    bands = one.select("id", "n", F.posexplode("keys").alias("band", "key")) if band_rows is None else band_rows(one)
+    shared = materialise(bands.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1").select("band", "key"), "shared")
+    bands = materialise(bands.join(small(shared), ["band", "key"], "left_semi"), "bands")
     pairs = pairs_within(bands, ["band", "key"], extra=["n"]).where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6).select("a", "b").distinct()
-    x, y = (maps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("m").alias(f"m{k}")) for k in "ab")
+    x, y = (one.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("m").alias(f"m{k}")) for k in "ab")
     differ = sum((F.bit_count(F.get("ma", F.lit(i)).bitwiseXOR(F.get("mb", F.lit(i)))) for i in range(PARITY)), F.lit(0))
     most = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     likely = materialise(pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b"), "likely")
-    x, y = (classes.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(one.select("id", "class"), "id")
+    sets = rows.join(small(wanted.select("id")), "id", "left_semi").mapInArrow(_classes, f"id {id_type}, class bigint, s array<bigint>")
+    sets = materialise(sets.join(small(wanted), ["id", "class"], "left_semi").dropDuplicates(["id"]), "sets")
+    x, y = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     close = likely.join(x, "a").join(y, "b").where(common / (F.size("sa") + F.size("sb") - common) >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     copies = own.join(reps, "class").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
