@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import columns as C
 from corpuscle.functions import italian as it
 from corpuscle.operators.export import content_hash
+from corpuscle.operators.topdocs import top_documents
 from corpuscle.session import materialise, skew_join, small
 
 #: Queries scored in one pass over the chunks; their vectors are what every worker holds.
@@ -242,14 +243,21 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = it.EVAL_K, alpha: flo
     (query_id, rank, docweb_id, score, chunk_id, activity_score, activity_chunk, violation_score, violation_chunk). Scope, years
     (inclusive, no date counting as year 0) and types are applied after ranking, so they never change a chunk's score. `postings` are
     those of read_index(), else they are made. Words are Italian stems unless stemmed=False."""
-    scores = hybrid_scores(chunks, queries, alpha, weighted, stemmed, postings)
-    c = distinct_chunks(chunks).select("chunk_id", "docweb_id", "section", "tipologia", "date")
     keep = C.in_scope(scope, F.col("section"), F.col("tipologia"))
     if years is not None:
         keep = keep & C.year(F.col("date")).between(*years)
     if types:
         keep = keep & F.coalesce(F.arrays_overlap("tipologia", F.array(*map(F.lit, types))), F.lit(False))
-    rows = scores.join(c.where(keep).select("chunk_id", "docweb_id", C.roles(F.coalesce("section", F.lit("testo"))).alias("role")), "chunk_id")
+    one, role = distinct_chunks(chunks), C.roles(F.coalesce("section", F.lit("testo")))
+    if alpha <= 0:
+        weight = F.coalesce("weight", F.lit(1.0)) if weighted else F.lit(1.0)
+        code = F.when(role == "activity", 1).when(role == "violation", 2).otherwise(0)
+        rows = one.select("chunk_id", "docweb_id", weight.cast("double").alias("w"), F.coalesce(keep, F.lit(False)).alias("keep"), code.alias("role"), "embedding")
+        asked = queries.where("embedding is not null").dropDuplicates(["query_id"])
+        return top_documents(rows, asked.select("query_id", "embedding", F.array().cast("array<string>").alias("terms"), F.lit(0.0).alias("a")), None, k, alpha)
+    scores = hybrid_scores(chunks, queries, alpha, weighted, stemmed, postings)
+    c = one.select("chunk_id", "docweb_id", "section", "tipologia", "date")
+    rows = scores.join(c.where(keep).select("chunk_id", "docweb_id", role.alias("role")), "chunk_id")
     # best: greatest score, then smallest chunk_id
     best = lambda cond: F.min(F.when(cond, F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c"))))
     docs = rows.groupBy("query_id", "docweb_id").agg(best(F.lit(True)).alias("top"), best(F.col("role") == "activity").alias("act"), best(F.col("role") == "violation").alias("vio"))
