@@ -249,21 +249,17 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = it.EVAL_K, alpha: flo
     if types:
         keep = keep & F.coalesce(F.arrays_overlap("tipologia", F.array(*map(F.lit, types))), F.lit(False))
     one, role = distinct_chunks(chunks), C.roles(F.coalesce("section", F.lit("testo")))
+    weight = F.coalesce("weight", F.lit(1.0)) if weighted else F.lit(1.0)
+    code = F.when(role == "activity", 1).when(role == "violation", 2).otherwise(0)
+    rows = one.select("chunk_id", "docweb_id", weight.cast("double").alias("w"), F.coalesce(keep, F.lit(False)).alias("keep"), code.alias("role"), "embedding")
+    asked = queries.where("embedding is not null").dropDuplicates(["query_id"]).select("query_id", "embedding", "query", C.effective_alpha(F.col("query"), alpha).alias("a"))
+    asked = materialise(asked, "asked")
     if alpha <= 0:
-        weight = F.coalesce("weight", F.lit(1.0)) if weighted else F.lit(1.0)
-        code = F.when(role == "activity", 1).when(role == "violation", 2).otherwise(0)
-        rows = one.select("chunk_id", "docweb_id", weight.cast("double").alias("w"), F.coalesce(keep, F.lit(False)).alias("keep"), code.alias("role"), "embedding")
-        asked = queries.where("embedding is not null").dropDuplicates(["query_id"])
-        return top_documents(rows, asked.select("query_id", "embedding", F.array().cast("array<string>").alias("terms"), F.lit(0.0).alias("a")), None, k, alpha)
-    scores = hybrid_scores(chunks, queries, alpha, weighted, stemmed, postings)
-    c = one.select("chunk_id", "docweb_id", "section", "tipologia", "date")
-    rows = scores.join(c.where(keep).select("chunk_id", "docweb_id", role.alias("role")), "chunk_id")
-    # best: greatest score, then smallest chunk_id
-    best = lambda cond: F.min(F.when(cond, F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c"))))
-    docs = rows.groupBy("query_id", "docweb_id").agg(best(F.lit(True)).alias("top"), best(F.col("role") == "activity").alias("act"), best(F.col("role") == "violation").alias("vio"))
-    w = Window.partitionBy("query_id").orderBy("top.s", "top.c")
-    ranked = docs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "docweb_id", (-F.col("top.s")).alias("score"), F.col("top.c").alias("chunk_id"), (-F.col("act.s")).alias("activity_score"), F.col("act.c").alias("activity_chunk"), (-F.col("vio.s")).alias("violation_score"), F.col("vio.c").alias("violation_chunk"))
+        return top_documents(rows, asked.withColumn("terms", F.array().cast("array<string>")), None, k, alpha)
+    terms = query_terms(asked, stemmed)
+    index = (bm25_postings(one, stemmed=stemmed) if postings is None else postings).join(small(terms.select("term").distinct()), "term")
+    asked = asked.join(terms.groupBy("query_id").agg(F.collect_set("term").alias("terms")), "query_id", "left")
+    return top_documents(rows, asked, index, k, alpha)
 
 
 def evaluate(results: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = it.EVAL_K) -> DataFrame:

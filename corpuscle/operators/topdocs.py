@@ -1,8 +1,8 @@
 """The best documents of each query, without a row for each pair of a query and a chunk.
 
 A task takes some queries and reads the chunks' vectors and the postings of its queries' words from the shared folder, batch by
-batch, as often as its queries need blocks; what it holds are two numbers for each chunk and query of a block (CELLS) and
-some numbers for each chunk. Ranks and ties are those of hybrid_scores()."""
+batch, once if they fit into HELD, else once for each block of its queries. It holds two numbers for each chunk and query of a
+block (CELLS) and some numbers for each chunk. Ranks and ties are those of hybrid_scores()."""
 
 from __future__ import annotations
 
@@ -16,7 +16,9 @@ from corpuscle.functions import italian as it
 from corpuscle.session import materialise
 
 #: Scores that a task holds at once: queries of a block times chunks, but one query at least.
-CELLS = 10_000_000
+CELLS = 8_000_000
+#: Bytes of vectors, and of postings, that a task keeps; if there are more, it reads them again for each block.
+HELD = 128 << 20
 #: Queries of a task, at most; a task reads what it knows of each chunk once.
 TASK_QUERIES = 256
 RESULT = "query_id {q}, rank int, docweb_id {d}, score double, chunk_id string, activity_score double, activity_chunk string, violation_score double, violation_chunk string"
@@ -35,8 +37,8 @@ def top_documents(chunks: DataFrame, queries: DataFrame, postings: DataFrame | N
     n = queries.count()
     tasks = max(1, min(n, max(2 * chunks.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_QUERIES))))
     schema = RESULT.format(q=dict(queries.dtypes)["query_id"], d=dict(chunks.dtypes)["docweb_id"])
-    at, words_at, cells = table._table_path, words and words._table_path, CELLS
-    return queries.repartition(tasks).mapInArrow(lambda batches: _task(batches, at, words_at, k, alpha, cells), schema)
+    at, words_at, cells, held = table._table_path, words and words._table_path, CELLS, HELD
+    return queries.repartition(tasks).mapInArrow(lambda batches: _task(batches, at, words_at, k, alpha, cells, held), schema)
 
 
 def _batches(path: str, columns: list[str], where=None):
@@ -46,18 +48,16 @@ def _batches(path: str, columns: list[str], where=None):
     return ds.dataset(path, format="parquet").scanner(columns=columns, filter=where, batch_size=8192, batch_readahead=1, fragment_readahead=1, use_threads=False).to_batches()
 
 
-def _vectors(column, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of a length (or 0: nothing) as rows of an array, and which rows of the column they are."""
+def _vectors(column, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a length as rows of an array, and which rows of the column they are."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     rows = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False) == size)
-    return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size), rows
+    return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size), rows
 
 
-def _task(batches: Iterator, path: str, words: str | None, k: int, alpha: float, cells: int) -> Iterator:
-    import pyarrow as pa
-
+def _task(batches: Iterator, path: str, words: str | None, k: int, alpha: float, cells: int, held: int) -> Iterator:
     asked, types = [], None
     for b in batches:
         types = b.schema
@@ -65,8 +65,10 @@ def _task(batches: Iterator, path: str, words: str | None, k: int, alpha: float,
             if v is not None and any(v) and None not in v:
                 asked.append((i, np.asarray(v, dtype=np.float64), t or [], a))
     for size in sorted({len(q[1]) for q in asked}):
-        index = _Chunks(path, size)
         mine = [q for q in asked if len(q[1]) == size]
+        index = _Chunks(path, size, held)
+        if words and index.n:
+            index.hold_postings(words, {t for q in mine for t in q[2]})
         block = max(1, cells // max(1, index.n))
         for s in range(0, len(mine) if index.n else 0, block):
             yield index.results(mine[s : s + block], path, words, k, alpha, types.field("query_id").type)
@@ -75,12 +77,13 @@ def _task(batches: Iterator, path: str, words: str | None, k: int, alpha: float,
 class _Chunks:
     """What a task knows of all chunks with a vector of a length; they are numbered by chunk_id."""
 
-    def __init__(self, path: str, size: int):
+    def __init__(self, path: str, size: int, held: int):
         import pyarrow as pa
 
-        parts, self.size = [], size
+        parts, self.size, self.held, self.x, self.postings = [], size, held, None, None
         for b in _batches(path, ["no", "chunk_id", "docweb_id", "w", "keep", "role", "embedding"]):
             x, rows = _vectors(b.column("embedding"), size)
+            x = x.astype(np.float64)
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             ok = np.flatnonzero((norm > 0) & np.isfinite(norm))
             t = pa.Table.from_batches([b.select(["no", "chunk_id", "docweb_id", "w", "keep", "role"]).take(pa.array(rows[ok]))])
@@ -90,7 +93,8 @@ class _Chunks:
         if not self.n:
             return
         t = t.take(pa.array(np.argsort(t["no"].to_numpy(), kind="stable"))).combine_chunks()
-        self.no, self.w, self.norm, self.role = (t[c].to_numpy() for c in ("no", "w", "norm", "role"))
+        self.no, self.w, norm, self.role = (t[c].to_numpy() for c in ("no", "w", "norm", "role"))
+        self.scale = self.w * 1e9 / norm
         self.ids, docs = t["chunk_id"].combine_chunks(), t["docweb_id"].combine_chunks().dictionary_encode(null_encoding="encode")
         self.docs, code = docs.dictionary, docs.indices.to_numpy()
         kept = np.flatnonzero(t["keep"].to_numpy())
@@ -105,7 +109,10 @@ class _Chunks:
         there is no room for it, they index the array that comes second."""
         bits, at = len(score).bit_length(), np.arange(len(score))
         if not len(score) or max(score.max(), -score.min()) < 1 << (62 - bits):
-            return (-score << bits) | at, None
+            key = np.negative(score)
+            key <<= bits
+            key |= at
+            return key, None
         order = np.argsort(-score, kind="stable")
         key = np.empty(len(score), np.int64)
         key[order] = at
@@ -124,38 +131,71 @@ class _Chunks:
         """Cosines times weights, in units of 1e-9: a row for each query."""
         q = np.stack([v / np.sqrt(v @ v) for _, v, _, _ in asked])
         out = np.empty((len(asked), self.n), np.int64)
-        for b in _batches(path, ["no", "embedding"]):
-            x, rows = _vectors(b.column("embedding"), self.size)
-            no = b.column("no").to_numpy()[rows]
-            at = np.minimum(np.searchsorted(self.no, no), self.n - 1)
-            ok = np.flatnonzero(self.no[at] == no)
-            at = at[ok]
-            s = q @ (x[ok] / self.norm[at][:, None]).T
-            s *= self.w[at] * 1e9
+        for at, x in self.vectors(path):
+            s = q @ x.astype(np.float64).T
+            s *= self.scale[at]
             out[:, at] = np.rint(s, out=s)
         return out
 
-    def keywords(self, asked: list, words: str | None) -> np.ndarray:
-        """Sums of the weights of the queries' words, a row for each query."""
+    def vectors(self, path: str) -> Iterator:
+        """(positions, their vectors), some thousand at a time."""
+        if self.x is not None:
+            for s in range(0, self.n, 8192):
+                yield slice(s, s + 8192), self.x[s : s + 8192]
+            return
+        keep = None
+        for b in _batches(path, ["no", "embedding"]):
+            x, rows = _vectors(b.column("embedding"), self.size)
+            at, ok = self.positions(b.column("no").to_numpy()[rows])
+            if keep is None and self.n * self.size * x.itemsize <= self.held:
+                keep = np.empty((self.n, self.size), x.dtype)
+            x = x[ok]
+            if keep is not None:
+                keep[at] = x
+            yield at, x
+        self.x = keep
+
+    def positions(self, no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the chunks that have a score: their positions, and which they are."""
+        at = np.minimum(np.searchsorted(self.no, no), self.n - 1)
+        ok = np.flatnonzero(self.no[at] == no)
+        return at[ok], ok
+
+    def runs(self, words: str, terms: set[str]) -> Iterator:
+        """(term, positions, weights) of some terms; a term may come in several parts."""
         import pyarrow as pa
         import pyarrow.dataset as ds
 
+        if self.postings is not None:
+            yield from ((t, *part) for t in terms for part in self.postings.get(t, ()))
+            return
+        for b in _batches(words, ["term", "no", "weight"], ds.field("term").isin(pa.array(sorted(terms), pa.string()))) if terms else ():
+            term = b.column("term").dictionary_encode()
+            code, weight = term.indices.to_numpy(), b.column("weight").to_numpy()
+            cuts = np.flatnonzero(code[1:] != code[:-1]) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(code)]) if len(code) else ():
+                at, ok = self.positions(b.column("no").to_numpy()[s:e])
+                yield term.dictionary[int(code[s])].as_py(), at.astype(np.int32 if self.n < 1 << 31 else np.int64), weight[s:e][ok]
+
+    def hold_postings(self, words: str, terms: set[str]) -> None:
+        kept, size = {}, 0
+        for t, at, weight in self.runs(words, terms):
+            kept.setdefault(t, []).append((at, weight))
+            size += at.nbytes + weight.nbytes
+            if size > self.held:
+                return
+        self.postings = kept
+
+    def keywords(self, asked: list, words: str) -> np.ndarray:
+        """Sums of the weights of the queries' words, a row for each query."""
         by: dict[str, list[int]] = {}
         for i, (_, _, terms, _) in enumerate(asked):
-            for t in set(terms):
+            for t in terms:
                 by.setdefault(t, []).append(i)
         out = np.zeros((len(asked), self.n))
-        for b in _batches(words, ["term", "no", "weight"], ds.field("term").isin(pa.array(list(by), pa.string()))) if by else []:
-            no = b.column("no").to_numpy()
-            at = np.minimum(np.searchsorted(self.no, no), self.n - 1)
-            there, weight = self.no[at] == no, b.column("weight").to_numpy()
-            runs = b.column("term").dictionary_encode()
-            code = runs.indices.to_numpy()
-            for s, e in (lambda c: zip(c, [*c[1:], len(code)]))([0, *(np.flatnonzero(code[1:] != code[:-1]) + 1)] if len(code) else []):
-                ok = there[s:e]
-                a, w = at[s:e][ok], weight[s:e][ok]
-                for i in by[runs.dictionary[code[s].item()].as_py()]:
-                    out[i, a] += w
+        for t, at, weight in self.runs(words, set(by)):
+            for i in by[t]:
+                out[i, at] += weight
         return out
 
     def scores(self, cos: np.ndarray | None, word: np.ndarray | None, alpha: float, a: float) -> tuple[np.ndarray, float]:

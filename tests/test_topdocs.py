@@ -1,6 +1,7 @@
 """search() against the scores of all pairs, with nothing in its plan that has a row for each pair."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,20 +50,29 @@ def given(df):
 
 
 def matches(monkeypatch, odd, alpha):
-    """One query a block or all, all documents kept or few; the plan has neither a window nor a join."""
+    """One query a block and nothing held, or all; all documents kept or few; no window, and no join on chunks, in the plan."""
     c, q = odd
     for cells, k, years in ((1, 3, None), (10**7, 3, (1990, 2000)), (10**7, 100, None)):
         monkeypatch.setattr("corpuscle.operators.topdocs.CELLS", cells)
+        monkeypatch.setattr("corpuscle.operators.topdocs.HELD", cells)
         df = search.search(c, q, k=k, alpha=alpha, years=years, stemmed=False)
         assert given(df) == by_pairs(c, q, alpha, k, years)
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "MapInArrow" in plan and "Window" not in plan and "Join" not in plan
+        assert "MapInArrow" in plan and "Window" not in plan and not re.search("Join.*chunk_id", plan)
 
 
 def test_by_vectors_only(monkeypatch, odd):
     matches(monkeypatch, odd, 0.0)
 
 
+def test_by_keywords_only(monkeypatch, odd):
+    matches(monkeypatch, odd, 1.0)
+
+
+def test_fused(monkeypatch, odd):
+    matches(monkeypatch, odd, 0.3)
+
+
 def test_vectors_of_several_lengths(spark, odd):
     """Models of different lengths in one table: a query meets the chunks of its own length."""
     q = spark.createDataFrame([(1, "a", [1.0, 0.0, 1.0]), (2, "b", [1.0, 0.0])], "query_id long, query string, embedding array<double>")
