@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import columns as C
 from corpuscle.operators import search
+from corpuscle.plans.catalogue import QUERIES
 
 ROLES = {"sintesi": 1, "fatti": 1, "motivazione": 2, "dispositivo": 2}
 
@@ -79,3 +80,9 @@ def test_vectors_of_several_lengths(spark, odd):
     got = search.search(odd[0], q, k=100, alpha=0.0)
     short = {r.chunk_id for r in odd[0].where("size(embedding) = 2").collect()}
     assert {r.chunk_id in short for r in got.where("query_id = 2").collect()} == {True} and {r.chunk_id in short for r in got.where("query_id = 1").collect()} == {False}
+
+
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_no_row_for_each_pair(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
