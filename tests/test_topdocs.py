@@ -74,6 +74,12 @@ def test_fused(monkeypatch, odd):
     matches(monkeypatch, odd, 0.3)
 
 
+def test_a_mask_that_nothing_passes(odd):
+    assert search.search(*odd, years=(1900, 1901)).count() == 0 and search.search(*odd, types=["Altro"]).count() == 0
+    one = search.search(*odd, scope="activity", k=100, stemmed=False)
+    assert one.count() and one.where("activity_chunk <> chunk_id or violation_chunk is not null").count() == 0
+
+
 def test_vectors_of_several_lengths(spark, odd):
     """Models of different lengths in one table: a query meets the chunks of its own length."""
     q = spark.createDataFrame([(1, "a", [1.0, 0.0, 1.0]), (2, "b", [1.0, 0.0])], "query_id long, query string, embedding array<double>")
@@ -82,7 +88,7 @@ def test_vectors_of_several_lengths(spark, odd):
     assert {r.chunk_id in short for r in got.where("query_id = 2").collect()} == {True} and {r.chunk_id in short for r in got.where("query_id = 1").collect()} == {False}
 
 
-@pytest.mark.parametrize("name", ["hybrid_search"])
+@pytest.mark.parametrize("name", ["hybrid_search", "search_masked"])
 def test_no_row_for_each_pair(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
