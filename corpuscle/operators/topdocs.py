@@ -16,7 +16,7 @@ from corpuscle.functions import italian as it
 from corpuscle.session import materialise
 
 #: Scores that a task holds at once: queries of a block times chunks, but one query at least.
-CELLS = 8_000_000
+CELLS = 4_000_000
 #: Bytes of vectors, and of postings, that a task keeps; if there are more, it reads them again for each block.
 HELD = 128 << 20
 #: Queries of a task, at most; a task reads what it knows of each chunk once.
@@ -103,6 +103,8 @@ class _Chunks:
         self.starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else code
         self.ends, self.doc = np.r_[self.starts[1:], len(code)], code[self.starts]
         self.bits = self.n.bit_length()
+        del t, parts
+        pa.default_memory_pool().release_unused()
 
     def keys(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         """Of whole-numbered scores: numbers that sort by score descending, then by position. The position is in their last bits; if
@@ -214,12 +216,13 @@ class _Chunks:
         import pyarrow as pa
 
         cos = self.cosines(asked, path) if alpha < 1 else None
-        word = self.keywords(asked, words) if alpha > 0 else None
+        word = self.keywords(asked, words) if alpha > 0 and self.postings is None else None
         ids, rank, doc, score, best = [], [], [], [], [[], [], []]
         for i, (query, _, _, a) in enumerate(asked):
             if not len(self.kept):
                 break
-            whole, unit = self.scores(cos[i] if cos is not None else None, word[i] if word is not None else None, alpha, a)
+            own_word = word[i] if word is not None else self.keywords(asked[i : i + 1], words)[0] if alpha > 0 else None
+            whole, unit = self.scores(cos[i] if cos is not None else None, own_word, alpha, a)
             key, order = self.keys(whole)
             of = lambda x: x & ((1 << self.bits) - 1) if order is None else order[x]  # noqa: B023, E731
             key = key[self.kept]
