@@ -88,7 +88,7 @@ def test_vectors_of_several_lengths(spark, odd):
     assert {r.chunk_id in short for r in got.where("query_id = 2").collect()} == {True} and {r.chunk_id in short for r in got.where("query_id = 1").collect()} == {False}
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "search_masked", "search_stemmed", "retrieval_evaluation"])
+@pytest.mark.parametrize("name", ["hybrid_search", "search_masked", "search_stemmed", "retrieval_evaluation", "retrieval_summary"])
 def test_no_row_for_each_pair(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
