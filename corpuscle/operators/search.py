@@ -264,10 +264,11 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = it.EVAL_K, alpha: flo
 
 def evaluate(results: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = it.EVAL_K) -> DataFrame:
     """(query_id, lang, precision, rr): a result is relevant if its best chunk has one of the query's tags. Precision is over
-    k, whatever was returned; rr is 0 without a relevant result."""
+    k, whatever was returned; rr is 0 without a relevant result. Results are joined by shuffle: Spark takes them for about as
+    large as the queries, of which each has k, so it would broadcast them."""
     tags = queries.select("query_id", "lang", "tags").dropDuplicates(["query_id"])
     topics = distinct_chunks(chunks).select("chunk_id", "argomenti")
-    rel = results.join(topics, "chunk_id").join(tags.select("query_id", "tags"), "query_id").withColumn("rel", F.coalesce(F.arrays_overlap("tags", "argomenti"), F.lit(False)))
+    rel = results.hint("merge").join(topics, "chunk_id").join(tags.select("query_id", "tags"), "query_id").withColumn("rel", F.coalesce(F.arrays_overlap("tags", "argomenti"), F.lit(False)))
     per = rel.groupBy("query_id").agg(F.count_if("rel").alias("n"), F.min(F.when(F.col("rel"), F.col("rank"))).alias("first"))
     return tags.join(per, "query_id", "left").select("query_id", "lang", (F.coalesce("n", F.lit(0)) / k).alias("precision"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
 

@@ -92,3 +92,10 @@ def test_vectors_of_several_lengths(spark, odd):
 def test_no_row_for_each_pair(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["retrieval_summary"])
+def test_results_are_not_broadcast(spark, name):
+    """Spark takes results for as large as the queries, though each query has k of them; they must not go through the driver."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[chunk_id", plan) and not re.search(r"BroadcastHashJoin \[chunk_id", plan)
