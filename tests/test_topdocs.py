@@ -94,7 +94,7 @@ def test_no_row_for_each_pair(spark, name):
     assert "MapInArrow" in plan and "Window" not in plan
 
 
-@pytest.mark.parametrize("name", ["retrieval_summary"])
+@pytest.mark.parametrize("name", ["retrieval_evaluation", "retrieval_summary"])
 def test_results_are_not_broadcast(spark, name):
     """Spark takes results for as large as the queries, though each query has k of them; they must not go through the driver."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
