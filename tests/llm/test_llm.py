@@ -416,6 +416,47 @@ def test_recall_of_edited_copies(spark):
     assert pairs <= {(d, i) for d, (i, _) in planted.items()}
 
 
+def test_texts_are_judged_many_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(38)
+    vocab = [f"v{chr(97 + i % 26)}{i // 26}" for i in range(120)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.randrange(5, 90)))) for i in range(25)]
+    docs = [(d, " ".join(rnd.choices(vocab, k=rnd.randrange(40)) + [x for x in items[d % 25][1].split() if rnd.random() < 0.8] + rnd.choices(vocab, k=rnd.randrange(40)))) for d in range(400)]
+    docs += [(900, None), (901, ""), (902, items[3][1][: len(items[3][1]) // 2]), (903, items[3][1][len(items[3][1]) // 2 :])]  # runs do not go on into the next text
+    seeds, calls, compare = contamination.Seeds(items, 5), [], contamination.compare
+    monkeypatch.setattr(contamination, "compare", lambda a, b: calls.append(len(a)) or compare(a, b))
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], names=["doc", "text"])
+    found = []
+    for cells, chars, words in ((4_000_000, 1_000_000, 8_000), (1, 1_000_000, 8_000), (4_000_000, 900, 1)):
+        for name, v in (("CELLS", cells), ("TEXT_CHARS", chars), ("PAIR_WORDS", words), ("ALIGNED_WORDS", words)):
+            monkeypatch.setattr(contamination, name, v)
+        calls.clear()
+        found.append(sorted(tuple(r.values()) for b in contamination._match(seeds, 12, 0.5, 30)(iter([batch])) for r in b.to_pylist()))
+        assert len(calls) < sum(calls) / 20 or words == 1
+    assert found[0] == found[1] == found[2] and sum(calls) > 200
+    want = {}
+    for d, t in docs:
+        w = contamination.words_of(t)
+        code = np.array([seeds.vocab.get(x, 0) for x in w], np.int64)
+        for i, item in enumerate(seeds.codes):
+            if {tuple(w[k : k + 5]) for k in range(len(w) - 4)} & {tuple(items[i][1].split()[k : k + 5]) for k in range(len(item) - 4)}:
+                run, score = contamination.longest_run(item, code), contamination.align(item, code)
+                if run >= 12 or score >= 2 * min(0.5 * len(item), 30):
+                    want[d, i] = (run, score)
+    assert {(d, i): (run, score) for d, i, run, score, _ in found[0]} == want
+
+
+def test_best_stretches_against_brute_force():
+    rng = np.random.default_rng(4)
+    size, most = rng.integers(0, 40, 50), rng.integers(0, 60, 50)
+    known = rng.random(size.sum()) < 0.4
+    want = []
+    for part, m in zip(np.split(known, np.cumsum(size)[:-1]), most):
+        want.append(max(int((3 * part[i:j] - 1).sum()) for i in range(len(part) + 1) for j in range(i, min(len(part), i + m) + 1)))
+    assert contamination.best_stretches(known, size, most).tolist() == want
+
+
 def test_windows_hold_what_seeds_can_reach():
     own = np.array([4, 2, 7, 9])  # n-grams of an item of eight words, n = 5
     first, last = np.full(10, -1), np.full(10, -1)
