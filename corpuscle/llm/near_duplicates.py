@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ from corpuscle.session import materialise, pairs_within, small
 
 SHINGLE_WORDS = 5
 BITMAP_BITS = 1024
+WORD = re.compile(r"\w+")
+#: \bx{2,}\b or [omissis], written so that a search goes from one x or bracket to the next.
+PLACEHOLDER = re.compile(r"x(?<!\wx)x+\b|\[omissis\]")
+#: Words whose hashes a worker holds.
+HELD_WORDS = 200_000
 
 
 def band_plan(threshold: float, rows: int, miss: float = 0.002) -> int:
@@ -36,27 +42,69 @@ def light_prefix(n: int, threshold: float) -> int:
     return min(n, n - math.ceil(threshold * n - 1e-9) + 2)
 
 
+class _Hashes(dict):
+    """Hashes of words with numbers made alike, held for later texts: at most HELD_WORDS, none of a very long word."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(alike(word))
+        if len(word) <= 50:
+            if len(self) >= HELD_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_hashes = _Hashes()
+
+
+def alike(word: str) -> str:
+    """A word with its numbers made alike."""
+    return re.sub(r"\d+", "0", word)
+
+
+def distinct(a):
+    """The distinct values of an array, in ascending order; np.unique takes several times as long for a few hundred."""
+    import numpy as np
+
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def _shingles(body: str | None):
     """Sorted distinct 64-bit hashes of the five-word sequences of a body (all words together if fewer)."""
-    import re
-
     import numpy as np
     import xxhash
 
-    text = re.sub(r"\bx{2,}\b|\[omissis\]", "x", re.sub(r"\d+", "0", (body or "").lower()))
-    words = re.findall(r"\w+", text)
+    words = WORD.findall(PLACEHOLDER.sub("x", (body or "").lower()))
     if not words:
         return np.zeros(0, np.uint64)
-    ids: dict[str, int] = {}
-    h = np.fromiter((ids[w] if w in ids else ids.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
-    if len(h) < SHINGLE_WORDS:
-        return np.array([xxhash.xxh64_intdigest(" ".join(words))], np.uint64)
+    if len(words) < SHINGLE_WORDS:
+        return np.array([xxhash.xxh64_intdigest(" ".join(map(alike, words)))], np.uint64)
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     mul, m = np.uint64(0x9E3779B97F4A7C15), len(h) - SHINGLE_WORDS + 1
     out = h[:m].copy()
     for k in range(1, SHINGLE_WORDS):
         out = (out ^ (out >> np.uint64(29))) * mul + h[k : k + m]
     out ^= out >> np.uint64(32)
-    return np.unique(out * mul)
+    return distinct(out * mul)
+
+
+def minima(x, a, c, functions: int = 64, elements: int = 1024):
+    """For each function its least value a * x + c over the elements x, in 32 bits; a part of both at a time, in one buffer."""
+    import numpy as np
+
+    out, buffer = np.full(len(a), 0xFFFFFFFF, np.uint32), np.empty(functions * min(elements, len(x)), np.uint32)
+    for j in range(0, len(x), elements):
+        y = x[j : j + elements]
+        for i in range(0, len(a), functions):
+            k = slice(i, min(i + functions, len(a)))
+            values = buffer[: (k.stop - i) * len(y)].reshape(-1, len(y))
+            np.multiply(a[k, None], y, out=values)
+            np.add(values, c[k, None], out=values)
+            np.minimum(out[k], values.min(1), out=out[k])
+    return out
 
 
 def _signatures(threshold: float, rows: int, bands: int, boundary: int):
@@ -86,14 +134,14 @@ def _signatures(threshold: float, rows: int, bands: int, boundary: int):
                     own.append((s[i] * pair) ^ s[j])
                 if n > boundary:
                     low = (s >> np.uint64(32)).astype(np.uint32)
-                    least = np.concatenate([((low[:, None] ^ (low[:, None] >> np.uint32(15))) * a[i : i + 64] + c[i : i + 64]).min(0) for i in range(0, len(a), 64)])
+                    least = minima(low ^ (low >> np.uint32(15)), a, c)
                     own.append(((least.reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * mix).sum(1, dtype=np.uint64) ^ band_no)
                 bits = np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
                 doc.append(k)
                 ns.append(n)
                 sigs.append(_sign(s))
                 maps.append(np.packbits(bits.astype(np.uint8)).tobytes())
-                keys.append(np.unique(np.concatenate(own) if own else s[:0]).view(np.int64))
+                keys.append(distinct(np.concatenate(own) if own else s[:0]).view(np.int64))
             offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(doc, b.schema.field(0).type), pa.array(ns, pa.int32()), pa.array(sigs, pa.binary()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "sig", "bitmap", "keys"])

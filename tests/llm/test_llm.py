@@ -323,6 +323,44 @@ def test_a_text_that_repeats_an_id_counts_by_one_signature(spark):
         assert len({frozenset((r.id, r.rep) for r in members.collect())}) == 1 and members.count() == 3
 
 
+def test_words_are_hashed_once_for_many_texts(monkeypatch):
+    import xxhash
+
+    rnd, hashed, digest = random.Random(9), [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: hashed.append(w) or digest(w))
+    monkeypatch.setattr(near_duplicates, "_hashes", near_duplicates._Hashes())
+    parts = ["xx", "xxx", "Xx", "x", "[omissis]", "[Omissis]", "omissis", "12", "3a4", "a12b", "\u0663\u0664", "\u00e8", "_", "x_xx", "xx0", "uno", "due", "z" * 80, "-", ".", "\n"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", " "]) for _ in range(rnd.randrange(60))) for _ in range(400)]
+    plain = [re.findall(r"\w+", re.sub(r"\bx{2,}\b|\[omissis\]", "x", re.sub(r"\d+", "0", t.lower()))) for t in texts]
+    for held in (200_000, 5):  # results do not depend on what is held
+        monkeypatch.setattr(near_duplicates, "HELD_WORDS", held)
+        near_duplicates._hashes.clear()
+        got = {t: frozenset(near_duplicates._shingles(t).tolist()) for t in texts}
+        assert len(near_duplicates._hashes) <= held
+        own = {frozenset(sequences(t)): got[t] for t in texts}
+        assert all(own[frozenset(sequences(t))] == got[t] and len(got[t]) == len(sequences(t)) for t in texts) and len(set(got.values())) == len(own)
+    hashed.clear()
+    long = [" ".join(rnd.choices(["uno", "due", "tre", "12", "quattro"], k=50)) for _ in range(100)]
+    near_duplicates._hashes.clear()
+    monkeypatch.setattr(near_duplicates, "HELD_WORDS", 200_000)
+    for t in long:
+        near_duplicates._shingles(t)
+    assert len(hashed) == 5
+    assert [near_duplicates.WORD.findall(near_duplicates.PLACEHOLDER.sub("x", re.sub(r"\d+", "0", t.lower()))) for t in texts] == plain
+
+
+def test_minima_and_distinct_values():
+    rng = np.random.default_rng(6)
+    a, c = rng.integers(0, 2**32, (2, 70), dtype=np.uint64).astype(np.uint32)
+    for n in (1, 5, 100):
+        x = rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
+        want = (x[:, None] * a + c).min(0)
+        for functions, elements in ((64, 1024), (7, 3), (100, 1)):
+            assert (near_duplicates.minima(x, a, c, functions, elements) == want).all()
+    for x in (np.zeros(0, np.uint64), np.array([3], np.uint64), rng.integers(0, 20, 50).astype(np.uint64)):
+        assert near_duplicates.distinct(x).tolist() == np.unique(x).tolist()
+
+
 # ------------------------------------------------------------------------------------------------------ 8 leaks
 
 
